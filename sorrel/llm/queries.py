@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,12 +32,42 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sorrel.llm.quality import score_quality
+
+    return score_quality(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sorrel.llm.toxicity import score_toxicity
+
+    return score_toxicity(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sorrel.llm.simhash import near_duplicates
+
+    return near_duplicates(spark, _read(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sorrel.llm.secrets import secret_report
 
     return secret_report(_read(spark, sf_dir, "documents"))
 
 
+def op9_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sorrel.llm.crosspolytope import nearest
+
+    return nearest(spark, _read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sorrel.llm.itq import near_vectors
+
+    return near_vectors(spark, _read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
