@@ -139,21 +139,25 @@ def redact(docs: DataFrame) -> DataFrame:
     A null text stays null; a text without secrets stays as it is.
     """
     whole = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
-    merged = F.aggregate(
-        F.col("secret_spans"), F.struct(whole.alias("out"), F.lit(-1).alias("start"), F.lit(-1).alias("end")),
-        lambda s, x: F.when(x["start"] <= s["end"], F.struct(s["out"].alias("out"), s["start"].alias("start"), F.greatest(s["end"], x["end"]).alias("end")))
-        .otherwise(F.struct(F.when(s["start"] >= 0, F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"]).alias("out"), x["start"].alias("start"), x["end"].alias("end"))),
-        lambda s: F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))),
-    )
+    def merged(spans: Column) -> Column:
+        return F.aggregate(
+            spans, F.struct(whole.alias("out"), F.lit(-1).alias("start"), F.lit(-1).alias("end")),
+            lambda s, x: F.when(x["start"] <= s["end"], F.struct(s["out"].alias("out"), s["start"].alias("start"), F.greatest(s["end"], x["end"]).alias("end")))
+            .otherwise(F.struct(F.when(s["start"] >= 0, F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"]).alias("out"), x["start"].alias("start"), x["end"].alias("end"))),
+            lambda s: F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))),
+        )
+
     text = F.col("text")
 
     def rebuilt(m: Column) -> Column:
         kept = F.transform(m, lambda x, i: F.substring(text, F.when(i == 0, 1).otherwise(F.get(m, i - 1)["end"] + 1), x["start"] - F.when(i == 0, 0).otherwise(F.get(m, i - 1)["end"])))
         return F.concat(F.array_join(kept, "[SECRET]"), F.lit("[SECRET]"), F.substring(text, F.element_at(m, -1)["end"] + 1, F.lit(2**31 - 1)))
 
-    out = find_secrets(docs)
-    out = out.withColumn("text", F.when(F.size("secret_spans") > 0, _let(merged, rebuilt)).otherwise(text)).drop("secret_spans")
-    return out.withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
+    found = secret_spans(F.coalesce(text.cast("string"), F.lit("")))
+    out = docs.withColumn("text", _let(found, lambda spans: F.when(F.size(spans) > 0, _let(merged(spans), rebuilt)).otherwise(text)))
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
