@@ -49,12 +49,12 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], most: int | None =
     return out if most is None else out.where(F.col(name) <= most)
 
 
-def prefix_search(df: DataFrame, column: str, query: str, most: int) -> DataFrame:
-    """Rows whose text holds the query, best first: equal, begins with it, a word begins with it, elsewhere; then shorter, then by text."""
+def prefix_search(df: DataFrame, column: str, query: str, most: int, key: str) -> DataFrame:
+    """Rows whose text holds the query, best first: equal, begins with it, a word begins with it, elsewhere; then shorter, then by text and key."""
     q, text = query.lower().strip(), F.lower(F.trim(F.col(column)))
     tier = F.when(text == q, 0).when(text.startswith(q), 1).when(text.contains(" " + q), 2).when(text.contains(q), 3)
     hits = df.withColumn("tier", tier).where(F.col("tier").isNotNull())
-    return hits.orderBy("tier", F.length(column), column).limit(most)
+    return hits.orderBy("tier", F.length(column), column, key).limit(most)
 
 
 def keyword_match(columns: list[str], query: str) -> Column:

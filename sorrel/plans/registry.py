@@ -108,8 +108,7 @@ def facet_values(spark, d):
 FROM part WHERE contains(lower(trim(p_name)), 'red') ORDER BY tier, length(p_name), p_name, p_partkey LIMIT 12""")
 def ranked_search(spark, d):
     """The best twelve hits of a text search (the limit is the feature)."""
-    hits = search.prefix_search(table(spark, d, "part").select("p_partkey", "p_name").orderBy("p_partkey"), "p_name", "Red", 10**9)
-    return hits.orderBy("tier", F.length("p_name"), "p_name", "p_partkey").limit(12)
+    return search.prefix_search(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "Red", 12, "p_partkey")
 
 
 _BANDS = [("small", 1, 15, 900), ("medium", 10, 30, 1500), ("large", 25, 50, 2500), ("exact", 20, 20, 700), ("any", 1, 60, 3000)]
