@@ -17,13 +17,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sorrel.llm.warc import dedupe_pages
 
-    return dedupe_pages(spark, _read(spark, sf_dir, "pages"))
+    return dedupe_pages(spark, _read(spark, sf_dir, "pages")).drop("file")
 
 
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sorrel.llm.wavelet import tokenize_to_shards
 
-    return tokenize_to_shards(spark, _read(spark, sf_dir, "documents"))
+    return tokenize_to_shards(spark, _read(spark, sf_dir, "documents")).drop("file")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sorrel.llm.gumbel import segmentation_report
+
+    return segmentation_report(spark, _read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sorrel.llm.toxicity import score_toxicity
 
@@ -72,5 +78,16 @@ def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+#: base32 of a SHA-1: eight groups of five hexadecimal digits, each four characters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {shift}) & 31 AS BIGINT), 1)" for g in range(8) for shift in (15, 10, 5, 0)
+)
+
+_SQL = {
+    "op1_warc_revisits": f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages), w AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, url, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM w""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
