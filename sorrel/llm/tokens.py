@@ -8,7 +8,7 @@ from array import array
 from itertools import chain
 
 #: Words whose ids a worker keeps; later words are encoded again each time, which bounds its memory.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # no apostrophe: it may start a contraction
 _RARE = re.compile(r"[^\S \n]").search  # white space other than spaces and line ends
 
