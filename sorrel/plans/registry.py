@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sorrel.functions import ages, dates, logic, money, text
 from sorrel.operators import changes, joins, search, summaries
+from sorrel.plans import places
 from sorrel.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,11 +28,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | places.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | places.SQL
 
 
 def _cents(c: str) -> str:

@@ -45,5 +45,5 @@ def parse_feed(bodies: DataFrame, body: str, schema: str) -> DataFrame:
 
 def parse_params(text_column: str):
     """k=v;k=v as a map; pieces without = are dropped."""
-    parts = F.filter(F.transform(F.split(text_column, ";"), F.trim), lambda p: p.contains("="))
+    parts = F.filter(F.transform(F.split(text_column, ";"), lambda x: F.trim(x)), lambda p: p.contains("="))
     return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))), F.trim(F.regexp_replace(p, r"^[^=]*=", "")))))
