@@ -154,6 +154,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
                     packer.pack(KEEP_TOKENS)
                     if (out := rows(packer.drain())) is not None:
                         yield out
+        tk.rest()
         packer.finish()
         if (out := rows(packer.drain())) is not None:
             yield out

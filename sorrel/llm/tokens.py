@@ -7,8 +7,10 @@ import re
 from array import array
 from itertools import chain
 
-#: Words whose ids a worker keeps; later words are encoded again each time, which bounds its memory.
-KEPT_WORDS = 200_000
+#: Words whose ids a worker keeps during a task; later words are encoded again each time, which bounds its memory.
+KEPT_WORDS = 1_000_000
+#: Words that it may keep between tasks; a worker with more drops them all at a task's end, as other stages need the memory.
+IDLE_WORDS = 600_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # no apostrophe: it may start a contraction
 _RARE = re.compile(r"[^\S \n]").search  # white space other than spaces and line ends
 
@@ -71,6 +73,11 @@ class WordTokenizer:
             words.update(ids)
         return ids
 
+    def rest(self) -> None:
+        """At a task's end: drop the words if they are many."""
+        if len(self._words) > IDLE_WORDS:
+            self._words.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         words = self._words

@@ -186,6 +186,7 @@ def write_shards(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int) ->
                     held += sizes[-1]
                     if held >= SHARD_TOKENS:
                         flush()
+        tk.rest()
         if names:
             flush()
         if done:
