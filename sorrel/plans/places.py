@@ -50,11 +50,11 @@ def venue_facets(spark, d):
     return v.select("p_partkey", F.array_join("g", "|").alias("groups"), F.array_join("w", "|").alias("windows"), venues.mixed_ages(F.col("g")).alias("mixed"), venues.rainy_weekday_morning(F.col("w"), F.col("band")).alias("rainy"))
 
 
-@_query("""SELECT p_partkey FROM part WHERE p_brand IN ('Brand#11', 'Brand#22', 'Brand#33') AND p_size % 3 = 0 AND p_retailprice > 1000""")
+@_query("""SELECT p_partkey FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') AND p_size % 3 = 0 AND p_retailprice > 950""")
 def venue_filter(spark, d):
     """Facets of several kinds at once; a flag must be known to be true."""
-    v = table(spark, d, "part").select("p_partkey", F.array("p_brand").alias("brands"), F.when(F.col("p_size") % 3 == 0, "x").otherwise("y").alias("mode"), F.when(F.col("p_retailprice") > 1000, True).alias("cafe"))
-    return v.where(venues.facet_filter({"brands": ["Brand#11", "Brand#22", "Brand#33"]}, {"mode": "x"}, ["cafe"])).select("p_partkey")
+    v = table(spark, d, "part").select("p_partkey", F.array("p_brand").alias("brands"), F.when(F.col("p_size") % 3 == 0, "x").otherwise("y").alias("mode"), F.when(F.col("p_retailprice") > 950, True).alias("cafe"))
+    return v.where(venues.facet_filter({"brands": ["Brand#11", "Brand#12", "Brand#13"]}, {"mode": "x"}, ["cafe"])).select("p_partkey")
 
 
 @_query("""WITH r AS (SELECT o_custkey, isodow(o_orderdate) AS weekday, CASE WHEN month(o_orderdate) % 2 = 0 THEN '9-5' ELSE '10-6' END AS slot FROM orders), d AS (SELECT o_custkey, weekday, array_to_string(list_sort(list(DISTINCT slot)), ', ') AS slots FROM r GROUP BY ALL),
