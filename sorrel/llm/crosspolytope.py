@@ -28,33 +28,21 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class CrossPolytope:
-    """``tables`` hashes of unit vectors: three rounds of random signs and a Hadamard transform, then the nearest of the 2d signed axes.
-
-    Inner products are turned into angles: a vector is divided by the largest norm, and what it
-    lacks of length one goes to a further component, which a query has as zero.
-    """
+    """``tables`` hashes of directions: three rounds of random signs and a Hadamard transform, then the nearest of the 2d signed axes."""
 
     dim: int
-    largest: float
     tables: int
     probes: int
     seed: int = 11
 
     def __post_init__(self):
-        self.size = 1 << max(1, int(np.ceil(np.log2(self.dim + 1))) if not self.unit else int(np.ceil(np.log2(max(2, self.dim)))))
+        self.size = 1 << max(1, int(np.ceil(np.log2(max(2, self.dim)))))
         self.signs = np.random.default_rng(self.seed).choice([-1.0, 1.0], (self.tables, 3, self.size))
 
-    @property
-    def unit(self) -> bool:
-        return self.largest == 0
-
-    def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
+    def directions(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.size))
-        if self.unit or query:
-            out[:, : self.dim] = x / np.linalg.norm(x, axis=1, keepdims=True)
-        else:
-            out[:, : self.dim] = x / self.largest
-            out[:, self.dim] = np.sqrt(np.maximum(0, 1 - (out**2).sum(1)))
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        out[:, : self.dim] = x / np.linalg.norm(x, axis=1, keepdims=True)
         return out
 
     def rotate(self, lifted: np.ndarray, table: int) -> np.ndarray:
@@ -75,19 +63,28 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     """(query_id, rank, vec_id, score): for each query, the ``k`` candidates of largest inner product found.
 
     ``is_query`` is a condition on vec_id. Every usable row is a candidate for all queries but
-    itself; unusable rows (see ``vectors.usable``) take no part. Candidates share a bucket with one of
-    the query's probes in some table; all are ranked by exact inner products of the original
-    vectors, ties to the smaller vec_id. Rows with one vec_id count as one row: the first by vector.
-    With fewer candidates than ``k``, all are returned: then every row meets every query. An empty
-    table gives no rows. Further columns are ignored.
+    itself; unusable rows (see ``vectors.usable``) take no part. Norms are cut into bands of a factor of
+    two, down from the largest; each is hashed by itself and probed by every query, so within a
+    band directions stand for inner products and a long vector has no say in the others' buckets.
+    Candidates share a bucket with one of the query's probes in some table. Bands with no more
+    rows than a table has buckets, together, are one bucket that every query meets. A query that is
+    left with fewer than ``k`` candidates meets every row. All are ranked by exact inner products of
+    the original vectors, ties to the smaller vec_id. Rows with one vec_id count as one row: the
+    first by vector. With fewer candidates than ``k`` in the table, all are returned. An empty table
+    gives no rows. Further columns are ignored.
     """
     ws = Workspace(spark, "crosspolytope")
     one = usable(vectors).groupBy("vec_id", "dim").agg(F.min("embedding").alias("embedding"))
-    rows = ws.table(one.withColumn("norm", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))), "rows")
-    about = rows.agg(F.count("*").alias("n"), F.max("norm").alias("hi"), F.min("norm").alias("lo"), F.max("dim").alias("dim")).first()
-    same = not about["n"] or about["hi"] - about["lo"] <= 1e-4 * about["hi"]
-    small = (about["n"] or 0) <= 20 * k
-    hashes = CrossPolytope(about["dim"] or 1, 0.0 if same else about["hi"], 1 if small else tables, probes)
+    largest = F.array_max(F.transform("embedding", F.abs))
+    # The logarithm of the norm; components are divided by the largest, so that no square overflows.
+    norm = F.log2(largest) + 0.5 * F.log2(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest)))
+    rows = ws.table(one.withColumn("norm", norm).withColumn("asks", F.coalesce(is_query, F.lit(False))), "rows")
+    about = rows.agg(F.count("*").alias("n"), F.max("norm").alias("hi"), F.max("dim").alias("dim")).first()
+    hashes = CrossPolytope(about["dim"] or 1, tables, probes)
+    band = F.floor(F.lit(about["hi"] or 0.0) - F.col("norm")).cast("int")
+    sizes = rows.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()  # a row for each factor of two
+    hashed_bands = sorted(r["band"] for r in sizes if r["n"] > 2 * hashes.size)
+    few = len(hashed_bands) < len(sizes)
 
     def hashed(frames):
         import pandas as pd
@@ -96,17 +93,24 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
             if not len(f):
                 continue
             x, ids, asks = matrix(f["embedding"]), f["vec_id"].to_numpy(), f["asks"].to_numpy(bool)
-            place, own = hashes.lift(x, False), hashes.lift(x[asks], True)
-            for t in range(hashes.tables):
-                at = np.zeros(len(x), np.int64) if small else hashes.axes(hashes.rotate(place, t), 1)[:, 0]
-                near = np.zeros((len(own), 1), np.int64) if small else hashes.axes(hashes.rotate(own, t), min(hashes.probes, 2 * hashes.size))
-                width = near.shape[1]
-                yield pd.DataFrame({"tab": t, "bucket": at, "vec_id": ids, "embedding": list(x), "in_a": True, "in_b": False})
-                if len(own):
-                    yield pd.DataFrame({"tab": t, "bucket": near.ravel(), "vec_id": np.repeat(ids[asks], width), "embedding": list(np.repeat(x[asks], width, axis=0)), "in_a": False, "in_b": True})
-
-    buckets = ws.table(rows.select("vec_id", "embedding", is_query.alias("asks")).mapInPandas(hashed, "tab int, bucket long, vec_id long, embedding array<double>, in_a boolean, in_b boolean"), "buckets")
-    dealt = bucket_blocks(buckets, ["tab", "bucket"], ws, "large", F.xxhash64("vec_id"), INDEX_CAP, QUERY_CAP)
+            bands = f["band"].to_numpy(np.int64)
+            rare = ~np.isin(bands, hashed_bands)
+            if few and (rare | asks).any():
+                own = rare | asks
+                yield pd.DataFrame({"band": -1, "tab": 0, "bucket": 0, "vec_id": ids[own], "embedding": list(x[own]), "in_a": rare[own], "in_b": asks[own]})
+            place, kept = hashes.directions(x), np.flatnonzero(~rare)
+            for t in range(hashes.tables if hashed_bands else 0):
+                turned = hashes.rotate(place, t)
+                at = hashes.axes(turned[kept], 1)[:, 0]
+                yield pd.DataFrame({"band": bands[kept], "tab": t, "bucket": at, "vec_id": ids[kept], "embedding": list(x[kept]), "in_a": True, "in_b": False})
+                if asks.any():
+                    near = hashes.axes(turned[asks], min(hashes.probes, 2 * hashes.size))
+                    width, vectors_ = near.shape[1], list(np.repeat(x[asks], near.shape[1], axis=0))
+                    for b in hashed_bands:
+                        yield pd.DataFrame({"band": b, "tab": t, "bucket": near.ravel(), "vec_id": np.repeat(ids[asks], width), "embedding": vectors_, "in_a": False, "in_b": True})
+
+    schema = "band int, tab int, bucket long, vec_id long, embedding array<double>, in_a boolean, in_b boolean"
+    buckets = ws.table(rows.select("vec_id", "embedding", "asks", band.alias("band")).mapInPandas(hashed, schema), "buckets")
 
     def best(f):
         import pandas as pd
@@ -130,7 +134,20 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
                 out.append(pd.DataFrame({"query_id": qids[i + a[top]], "vec_id": ids[b[top]], "score": exact[top]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    found = dealt.groupBy("tab", "bucket", "block_a", "block_b").applyInPandas(best, "query_id long, vec_id long, score double")
-    each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(buckets: DataFrame, keys: list[str], name: str) -> DataFrame:
+        dealt = bucket_blocks(buckets, keys, ws, f"{name}-large", F.xxhash64("vec_id"), INDEX_CAP, QUERY_CAP)
+        found = dealt.groupBy(*keys, "block_a", "block_b").applyInPandas(best, "query_id long, vec_id long, score double")
+        each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return ws.table(each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), name)
+
+    first = ranked(buckets, ["band", "tab", "bucket"], "first")
+    ws.drop("buckets")
+    full = first.where(F.col("rank") == min(k, max(1, about["n"] - 1))).select(F.col("query_id").alias("full_id"))
+    short = ws.table(rows.where("asks").join(full, F.col("vec_id") == F.col("full_id"), "left_anti").select("vec_id"), "short")
+    if about["n"] < 2 or not short.limit(1).count():
+        return first
+    swept = rows.join(short.select(F.col("vec_id").alias("short_id")), F.col("vec_id") == F.col("short_id"), "left")
+    swept = ws.table(swept.select(F.lit(0).alias("bucket"), "vec_id", "embedding", F.lit(True).alias("in_a"), F.col("short_id").isNotNull().alias("in_b")), "swept")
+    rest = ranked(swept, ["bucket"], "rest")
+    return first.join(short, first.query_id == short.vec_id, "left_anti").unionByName(rest)

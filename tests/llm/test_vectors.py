@@ -130,6 +130,25 @@ def test_recall_on_the_given_vectors(spark):
     check_nearest(C.nearest(spark, t, F.col("vec_id") % 20 == 0).collect(), exact_nearest(rows, 20, 64), 0.95)
 
 
+@pytest.mark.parametrize("norms", ["outlier", "lognormal"])
+def test_recall_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 64))
+    x = centres[rng.integers(60, size=1500)] + rng.normal(size=(1500, 64)) * 0.7
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.exp(0.5 * rng.normal(size=(1500, 1))) if norms == "lognormal" else np.where(np.arange(1500) == 7, 100, 1)[:, None]
+    rows = [(i, e.astype(np.float32).tolist(), 1) for i, e in enumerate(x)]
+    got = C.nearest(spark, frame(spark, rows), F.col("vec_id") % 20 == 0).collect()
+    check_nearest(got, exact_nearest(rows, 20, 64), 0.95)
+    assert len(got) == 75 * 20
+
+
+def test_queries_left_with_few_candidates_are_swept(spark):
+    rows = clustered(500, 2)
+    got = C.nearest(spark, frame(spark, rows), F.col("vec_id") % 20 == 0, tables=1, probes=1).collect()
+    assert len(got) == 25 * 20
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(C.hadamard(x), axis=1), np.linalg.norm(x, axis=1)) and np.allclose(C.hadamard(C.hadamard(x)), x)
