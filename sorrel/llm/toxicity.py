@@ -98,7 +98,7 @@ def dense_features(text: str | None, lexicon: Lexicon) -> list[float]:
     pieces = text.split()
     return [
         n_strong / n, np.log1p(n_strong), np.log1p(len(strong)), n_weak / n, np.log1p(n_weak), np.log1p(near), sum(1 for w in words if w in second) / n if second else 0.0,
-        sum(map(str.isupper, text[::5])) * 5 / chars, sum(map(str.isupper, pieces)) / max(1, len(pieces)), np.log1p(capital_hits),
+        sum(map(str.isupper, text)) / chars, sum(map(str.isupper, pieces)) / max(1, len(pieces)), np.log1p(capital_hits),
         text.count("!") / n, text.count("?") / n, sum(map(text.count, ".,;:!?")) / chars, len(odd) / n, np.log1p(odd_hits), len(stretched) / n, np.log1p(len(words)), chars / n,
     ]
 

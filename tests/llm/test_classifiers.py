@@ -81,3 +81,9 @@ def test_obfuscated_and_stretched_words_count():
     f = dict(zip(T.NAMES, T.dense_features("you are an IDIOT, soooo so", lex)))
     assert f["near_second_person"] > 0 and f["hits_in_capitals"] > 0 and f["stretched"] > 0 and f["strong"] > 0
     assert T.dense_features("", lex)[:6] == [0] * 6
+
+
+@pytest.mark.parametrize("text, rate", [("Abcd " * 40, 0.2), ("abcD " * 40, 0.2), ("aÉb", 1 / 3), ("abc", 0.0)])
+def test_capitals_are_counted_over_the_whole_text(text, rate):
+    f = dict(zip(T.NAMES, T.dense_features(text, T.Lexicon(frozenset(), frozenset()))))
+    assert f["capitals"] == pytest.approx(rate)
