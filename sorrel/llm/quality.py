@@ -40,7 +40,7 @@ def structure(text: str, words: list[str]) -> list[float]:
         math.log1p(len(words)) / 12, math.log1p(len(text)) / 14, distinct / n, distinct / (n ** 0.8), sum(map(len, words)) / n / 16,
         sum(marks) / chars * 3, (sum(marks) - marks[2] - marks[3]) / chars * 5, max(same), sum(same) / len(same), max(ends), sum(ends) / len(ends), min(ends),
         max(upper), sum(upper) / len(upper), sum(map(str.isalpha, words)) / n, sum(map(str.istitle, words)) / n,
-        sum(c.isdigit() for c in text[::7]) * 7 / chars * 4, marks[0] / n, marks[2] / n * 4, marks[6] / n, sum(marks[7:13]) / n / 2,
+        sum(map(str.isdigit, text)) / chars * 4, marks[0] / n, marks[2] / n * 4, marks[6] / n, sum(marks[7:13]) / n / 2,
         len(set(lines)) / max(1, len(lines)), math.log1p(len(lines)) / 8, max(map(len, lines), default=0) / chars,
     ]
 

@@ -87,3 +87,8 @@ def test_obfuscated_and_stretched_words_count():
 def test_capitals_are_counted_over_the_whole_text(text, rate):
     f = dict(zip(T.NAMES, T.dense_features(text, T.Lexicon(frozenset(), frozenset()))))
     assert f["capitals"] == pytest.approx(rate)
+
+
+@pytest.mark.parametrize("text, share", [("a1b2c3d" * 30, 3 / 7), ("1abcdef" * 30, 1 / 7), ("no digit", 0.0)])
+def test_digits_are_counted_over_the_whole_text(text, share):
+    assert Q.structure(text, text.split())[16] == pytest.approx(share * 4)
