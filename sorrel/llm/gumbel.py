@@ -47,6 +47,7 @@ class Lattices:
         # Scores of merged pieces are the negative place of their merge: weights fall with it as word frequencies do.
         self.weight = {self.sp.id_to_piece(i): (i, (10.0 + min(n, -self.sp.get_score(i))) ** -alpha) for i in range(n) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i))}
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.spelled = [self._spelling(i) for i in range(n)]
         pairs = {x for p in self.weight for x in zip(p, p[1:])}
         if any(SPACE in p.lstrip(SPACE) for p in self.weight):
             raise ValueError("a piece goes on after a space")
@@ -56,6 +57,15 @@ class Lattices:
         self.words = self._cutter(pairs).findall
         self.clear()
 
+    def _spelling(self, i: int) -> bytes:
+        if self.sp.is_control(i):
+            return b""
+        return bytes([int(self.sp.id_to_piece(i)[3:5], 16)]) if self.sp.is_byte(i) else self.sp.id_to_piece(i).encode()
+
+    def spell(self, ids) -> bytes:
+        """The normalised text that the ids stand for, in UTF-8."""
+        return b"".join([self.spelled[i] for i in ids])
+
     @staticmethod
     def _cutter(pairs: set[tuple[str, str]]) -> re.Pattern:
         """Cuts a text where no piece can lie: before spaces, and between marks that no piece joins with other characters."""
@@ -253,7 +263,7 @@ def lattices_source(lattices: Lattices, edges: np.ndarray, words: np.ndarray, ro
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, model: str | None = None, k: int = 3, alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """(doc_id, draw, perturbed, log_prob, inclusion, n_pieces, pieces array<int>) of each row's samples.
+    """(doc_id, draw, perturbed, log_prob, inclusion, n_pieces, pieces array<int>, decodes) of each row's samples; ``decodes``: whether the ids spell the normalised text.
 
     The seed of a row is its doc_id (with ``seed``), so equal rows give equal samples; a null doc_id
     has a seed of its own. A null text is empty; an empty text has one segmentation, without pieces.
@@ -275,20 +285,36 @@ def segmentations(spark: SparkSession, docs: DataFrame, model: str | None = None
                     part.append(texts[at + len(part)].as_py() or "")
                     size += len(part[-1])
                 own = ids[at : at + len(part)]
-                found = sample_segmentations(lat, [lat.sp.normalize(t) if t else "" for t in part], [((-1 if i is None else i) * 1_000_003 + seed) % 2**62 for i in own], k)
+                norms = [lat.sp.normalize(t) if t else "" for t in part]
+                found = sample_segmentations(lat, norms, [((-1 if i is None else i) * 1_000_003 + seed) % 2**62 for i in own], k)
                 at += len(part)
-                rows = [(i, d, *s[:3], len(s[3]), s[3].astype(np.int32)) for i, f in zip(own, found) for d, s in enumerate(f)]
-                kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "draw", "perturbed", "log_prob", "inclusion", "n_pieces", "pieces"])
+                rows = [(i, d, *s[:3], len(s[3]), s[3].astype(np.int32), lat.spell(s[3].tolist()) == t.encode("utf-8", "replace")) for i, f, t in zip(own, found, norms) for d, s in enumerate(f)]
+                kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "draw", "perturbed", "log_prob", "inclusion", "n_pieces", "pieces", "decodes"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, draw int, perturbed double, log_prob double, inclusion double, n_pieces int, pieces array<int>")
+    return src.mapInArrow(run, "doc_id long, draw int, perturbed double, log_prob double, inclusion double, n_pieces int, pieces array<int>, decodes boolean")
+
+
+def decode_segmentations(found: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, draw, text) for each row of (doc_id, draw, pieces): the ids as text. No ids, or null, are an empty text. Further columns are ignored."""
+    path = model or piece_bpe_path()
+
+    def run(batches):
+        import pyarrow as pa
+
+        sp = shared_lattices(path, 1.0).sp
+        for batch in batches:
+            texts = [sp.decode(ids) if ids else "" for ids in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "draw", "text"])
+
+    return found.select("doc_id", "draw", "pieces").mapInArrow(run, "doc_id long, draw int, text string")
 
 
 def segmentation_report(spark: SparkSession, docs: DataFrame, k: int = 3) -> DataFrame:
-    """The samples with a checksum in the place of their ids (the ids as text, joined by commas)."""
+    """The samples with a checksum in the place of their ids (the ids as text, joined by commas) and whether they decode to the text."""
     found = segmentations(spark, docs, k=k)
-    return found.select("doc_id", "draw", "perturbed", "log_prob", "inclusion", "n_pieces", F.crc32(F.concat_ws(",", F.col("pieces").cast("array<string>")).cast("binary")).alias("ids_crc32"))
+    return found.select("doc_id", "draw", "perturbed", "log_prob", "inclusion", "n_pieces", F.crc32(F.concat_ws(",", F.col("pieces").cast("array<string>")).cast("binary")).alias("ids_crc32"), "decodes")
 
 
 def piece_bpe_path() -> str:

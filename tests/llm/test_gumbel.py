@@ -86,3 +86,17 @@ def test_query(spark, lat):
     assert len(by[8]) == 3 and len({tuple(r.pieces) for r in by[8]}) == 3 and [tuple(r.pieces) for r in by[3]] == [()]
     assert G.segmentations(spark, documents(spark, [])).count() == 0
     assert np.isfinite([r.log_prob for r in got]).all()
+
+
+def test_draws_decode_to_their_texts(spark):
+    rows = [(1, "the cat, in"), (2, None), (3, ""), (4, "\U0001f9ff漢 ꙮ é!"), (5, "many words " * 3000 + "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    report = G.segmentation_report(spark, docs).collect()
+    assert all(r.decodes for r in report) and {r.doc_id for r in report} == {1, 2, 3, 4, 5}
+    decoded = G.decode_segmentations(G.segmentations(spark, docs)).collect()
+    assert len(decoded) == len(report) and all(r.text == (dict(rows)[r.doc_id] or "") for r in decoded)
+
+
+def test_wrong_ids_do_not_decode(lat):
+    ids = G.sample_segmentations(lat, [lat.sp.normalize("the cat")], [1], 1)[0][0][3].tolist()
+    assert lat.spell(ids) == lat.sp.normalize("the cat").encode() != lat.spell(ids[:-1])
