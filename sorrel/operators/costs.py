@@ -28,7 +28,10 @@ def family_price(children: DataFrame, families: DataFrame, tickets: DataFrame, e
     replaces all of it only if it is strictly cheaper, holds all paying children, and no child lacks
     a ticket; its further adults pay too.
     """
-    included = {r["band"]: r["adults_included"] for r in tickets.select("band", "adults_included").limit(1000).collect()}  # a price list
+    listed = tickets.select("band", "adults_included").limit(1001).collect()  # a price list
+    if len(listed) > 1000:
+        raise ValueError("over 1,000 tickets")
+    included = {r["band"]: r["adults_included"] for r in listed}
     per_ticket = F.create_map(*[F.lit(x) for kv in included.items() for x in kv])
     own = band_join(children.select(family, age), age, tickets)
     sums = own.groupBy(F.col(family).alias("key")).agg(

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 def band_join(values: DataFrame, value: str, bands: DataFrame, low: str = "low", high: str = "high", cost: str = "cost", key: str = "band") -> DataFrame:
     """Each row with the narrowest band that holds its value; ties to the cheaper, then the smaller key; none gives nulls.
 
-    ``bands`` is a list of a few dozen at most, so it is folded into one expression per row: no join and no shuffle.
+    ``bands`` is a list of a few dozen at most, so it is folded into one expression per row: no join and no shuffle. Over 1,000 bands are an error.
     """
-    rows = bands.select(key, low, high, cost).limit(1000).collect()
+    rows = bands.select(key, low, high, cost).limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("over 1,000 bands")
     out = F.lit(None).cast(bands.schema[key].dataType)
     price = F.lit(None).cast(bands.schema[cost].dataType)
     for r in sorted(rows, key=lambda r: (r[high] - r[low], r[cost], r[key]), reverse=True):

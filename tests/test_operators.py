@@ -110,3 +110,13 @@ def test_joins(spark):
     assert [r.band for r in got] == ["m", "n", "w", None, None]
     e = spark.createDataFrame([("a", 1, "error"), ("a", 2, "ok"), ("a", 3, "error"), ("a", 4, "error"), ("b", 1, "error")], "k string, i int, s string")
     assert rows(joins.consecutive_failures(e, "k", F.col("i"), F.col("s") == "error")) == [("a", 2), ("b", 1)]
+
+
+def test_too_many_bands_are_an_error(spark):
+    import pytest
+
+    from sorrel.operators import joins
+
+    bands = spark.range(1001).selectExpr("id AS band", "id AS low", "id AS high", "id AS cost")
+    with pytest.raises(ValueError):
+        joins.band_join(spark.range(3).selectExpr("id AS v"), "v", bands)
