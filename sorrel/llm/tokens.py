@@ -12,6 +12,10 @@ KEPT_WORDS = 1_000_000
 #: Words that it may keep between tasks; a worker with more drops them all at a task's end, as other stages need the memory.
 IDLE_WORDS = 600_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # no apostrophe: it may start a contraction
+_LATIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+").fullmatch
+#: How byte-level files write bytes: those of visible Latin-1 characters as themselves, the others from U+0100 on, in order.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _RARE = re.compile(r"[^\S \n]").search  # white space other than spaces and line ends
 
 
@@ -24,6 +28,8 @@ class WordTokenizer:
     once. A part that is empty or ends in white space would move such a cut into a run of white
     space; it's joined with what follows it instead. Null texts count as empty.
     Splitting a new word further, at a line end or before trailing marks, saves most of the work.
+    A new word of Latin letters, with one space before it or none, is one word to the pattern too;
+    it goes straight to the file's merges, without the passes that find words and keep offsets.
     """
 
     def __init__(self, path: str):
@@ -32,10 +38,15 @@ class WordTokenizer:
 
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True
+        self._merges = self._t.model
         self._words: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self._t.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of letters; the merges are of bytes, written as characters."""
+        return array("I", [t.id for t in self._merges.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -65,7 +76,8 @@ class WordTokenizer:
         words = self._words
         split = {w: ps for w in new if not w[1:].isalpha() and not _RARE(w) and len(ps := self._pieces(w)) > 1}
         todo = list({p for p in chain(new, *split.values()) if p not in words and p not in split})
-        ids: dict[str, bytes] = {}
+        ids = {w: self._letters(w) for w in todo if _LATIN(w)}
+        todo = [w for w in todo if w not in ids]
         for i in range(0, len(todo), 4096):
             ids.update(zip(todo[i : i + 4096], self._plain(todo[i : i + 4096])))
         ids.update((w, b"".join([ids[p] if p in ids else words[p] for p in ps])) for w, ps in split.items())
@@ -80,22 +92,27 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = self._words
-        cut = []
+        get, found, missing = self._words.get, [], {}
         for x in texts:
             p = (x or "").split(" ")
             # The usual text has single spaces only between words: then each part is a space and a word.
             if all(p) and not any(map(str.isspace, [w[-1] for w in p])):
                 q = [" " + w for w in p]
                 q[0] = p[0]
-                cut.append(q)
             else:
-                cut.append(self.parts(x or ""))
-        new = list({w for p in cut for w in p if w not in words})
-        extra = self._learn(new) if new else {}
-        if len(words) < KEPT_WORDS:
-            return [b"".join([words[w] for w in p]) for p in cut]
-        return [b"".join([words[w] if w in words else extra[w] for w in p]) for p in cut]
+                q = self.parts(x or "")
+            ids = list(map(get, q))
+            if None in ids:
+                gaps = [i for i, data in enumerate(ids) if data is None]
+                missing.update((q[i], None) for i in gaps)
+                found.append((ids, [(i, q[i]) for i in gaps]))
+            else:
+                found.append((ids, ()))
+        learnt = self._learn(list(missing)) if missing else {}
+        for ids, gaps in found:
+            for i, w in gaps:
+                ids[i] = learnt[w]
+        return [b"".join(ids) for ids, _ in found]
 
 
 _SHARED: dict[str, WordTokenizer] = {}

@@ -18,7 +18,7 @@ from sorrel.llm.workspace import CommittedFile, Workspace, open_input
 MAGIC = b"SWM1"
 BLOCK = 1 << 15  # bits in a block that is compressed by itself
 SHARD_TOKENS = 4 << 20
-_SHARDS = "file string, first_id long, part long, seq long, docs long, tokens long"
+_SHARDS = "file string, part long, seq long, docs long, tokens long"
 _DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
 
 
@@ -39,16 +39,22 @@ def pack_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -
     put("lengths", z.compress(np.array(lengths, "<i8").tobytes()))
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     seq, zeros = ids.astype(np.uint16 if bits <= 16 else np.uint32), []
+    spare = np.empty_like(seq)
     for level in range(bits):
-        one = ((seq >> (bits - 1 - level)) & 1).astype(bool)
-        ones = np.add.reduceat(one, np.arange(0, len(one), BLOCK), dtype=np.int64) if len(one) else np.zeros(0, np.int64)
-        packed = np.packbits(one, bitorder="little").tobytes()
+        one = (seq & seq.dtype.type(1 << (bits - 1 - level))) != 0
+        packed = np.packbits(one, bitorder="little")
+        filled = np.zeros(-(-len(packed) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
+        filled[: len(packed)] = packed
+        ones = np.bitwise_count(filled.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
+        packed = packed.tobytes()
         blocks = [z.compress(packed[i : i + BLOCK // 8]) for i in range(0, len(packed), BLOCK // 8)]
         put(f"ranks{level}", z.compress(np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes()))
         put(f"places{level}", z.compress(np.cumsum([0, *map(len, blocks)]).astype("<i8").tobytes()))
         put(f"bits{level}", b"".join(blocks))
         zeros.append(int(len(one) - ones.sum()))
-        seq = np.concatenate([seq[~one], seq[one]])
+        np.compress(~one, seq, out=spare[: zeros[-1]])
+        np.compress(one, seq, out=spare[zeros[-1] :])
+        seq, spare = spare, seq
     head = json.dumps({"n": len(ids), "docs": len(doc_ids), "bits": bits, "zeros": zeros, "parts": parts}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(body)
 
@@ -156,10 +162,10 @@ class WaveletShard:
 
 
 def write_shards(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int) -> DataFrame:
-    """Encode documents in ascending doc_id order (nulls first, ties by text) and write shard files.
+    """Encode documents in ascending doc_id order (nulls first, ties by a hash of the text) and write shard files.
 
-    Texts are dealt into ranges of doc_id, so tasks hold runs of the order, and each task cuts its
-    run into shards of about four million tokens. A key's rows stay in one range.
+    Texts are dealt into ranges of the order, so tasks hold runs of it, and each task cuts its run
+    into shards of about four million tokens. A doc_id that many texts share may span ranges.
     """
     folder = ws.sub("shards")
 
@@ -173,7 +179,7 @@ def write_shards(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int) ->
             nonlocal ids, names, sizes, held
             out = CommittedFile(folder, f"part-{part:06d}-{len(done):04d}", ".swm")
             out.write(pack_shard(np.frombuffer(b"".join(ids), "<u4"), names, sizes))
-            done.append((out.close(), names[0], part, len(done), len(names), held))
+            done.append((out.close(), part, len(done), len(names), held))
             ids, names, sizes, held = [], [], [], 0
 
         for batch in batches:
@@ -190,17 +196,19 @@ def write_shards(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int) ->
         if names:
             flush()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), *[pa.int64()] * 5))], [x.split()[0] for x in _SHARDS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), *[pa.int64()] * 4))], [x.split()[0] for x in _SHARDS.split(", ")])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ws.table(src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, _SHARDS), "shard-files")
+    src = src.withColumn("tie", F.xxhash64("text"))
+    return ws.table(src.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").mapInArrow(write, _SHARDS), "shard-files")
 
 
 def read_shards(shards: DataFrame, folder: str, tasks: int) -> DataFrame:
     """Per document, from the files: its place in the whole order, its tokens and their checksum."""
-    # One row a shard of millions of tokens: a few rows even for a large corpus.
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "part", "seq")
-    placed = shards.withColumn("base", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
+    # Ranges are numbered in their order; a row for each of them, then the shards within a range.
+    ranges = shards.groupBy("part").agg(F.sum("tokens").alias("held")).withColumn("before", F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held"))
+    within = F.sum("tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
+    placed = shards.join(ranges.select(F.col("part").alias("range"), "before"), F.col("part") == F.col("range")).withColumn("base", F.col("before") + within)
 
     def read(batches):
         import pyarrow as pa
