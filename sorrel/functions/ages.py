@@ -8,14 +8,38 @@ from pyspark.sql import functions as F
 from sorrel.functions.logic import all_of
 
 
+def band_known(low: Column, high: Column, low_inclusive: Column, high_inclusive: Column) -> Column:
+    """A band is known if it has a bound, says of each bound whether it's included, and isn't empty."""
+    stated = (low.isNotNull() | high.isNotNull()) & (low.isNull() | low_inclusive.isNotNull()) & (high.isNull() | high_inclusive.isNotNull())
+    empty = (low > high) | ((low == high) & ~(low_inclusive & high_inclusive))
+    return F.coalesce(stated & ~F.coalesce(empty, F.lit(False)), F.lit(False))
+
+
 def age_fits(age: Column, low: Column, high: Column, low_inclusive: Column | None = None, high_inclusive: Column | None = None) -> Column:
-    """yes, no or unknown. A known bound can refuse an age; a band without any known bound is unknown."""
-    lo_in = F.coalesce(low_inclusive, F.lit(True)) if low_inclusive is not None else F.lit(True)
-    hi_in = F.coalesce(high_inclusive, F.lit(True)) if high_inclusive is not None else F.lit(True)
+    """yes, no or unknown. An unknown age or band (see ``band_known``) is unknown; without the last two arguments bounds are included."""
+    lo_in = F.lit(True) if low_inclusive is None else low_inclusive
+    hi_in = F.lit(True) if high_inclusive is None else high_inclusive
     below = (age < low) | ((age == low) & ~lo_in)
     above = (age > high) | ((age == high) & ~hi_in)
-    known = age.isNotNull() & (low.isNotNull() | high.isNotNull()) & F.coalesce(low <= high, F.lit(True))
-    return F.when(~known, "unknown").when(F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False)), "no").otherwise("yes")
+    refused = F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))
+    return F.when(age.isNull() | ~band_known(low, high, lo_in, hi_in), "unknown").when(refused, "no").otherwise("yes")
+
+
+def assessment_date(rule: Column, assessed_at: Column, start: Column) -> Column:
+    """The day on which a session counts ages: a stated day, the session's start, or unknown."""
+    return F.when(rule == "as_of_date", assessed_at).when(rule == "as_of_session_start", start)
+
+
+def age_on(born: Column, day: Column) -> Column:
+    """Whole years on a day."""
+    return F.floor(F.months_between(day, born) / 12).cast("int")
+
+
+def band_label(low: Column, high: Column, low_inclusive: Column, high_inclusive: Column) -> Column:
+    """Ages of a known band as text: a–b, a+ or up to b, with < and > at bounds that aren't included; null if unknown."""
+    lo, hi = F.concat(F.when(low_inclusive, "").otherwise(">"), low.cast("string")), F.concat(F.when(high_inclusive, "").otherwise("<"), high.cast("string"))
+    one = F.when(high.isNull(), F.concat(lo, F.when(low_inclusive, "+").otherwise(""))).otherwise(F.concat(F.when(high_inclusive, "up to ").otherwise(""), hi))
+    return F.when(band_known(low, high, low_inclusive, high_inclusive), F.concat(F.lit("Ages "), F.when(low.isNotNull() & high.isNotNull(), F.concat(lo, F.lit("–"), hi)).otherwise(one)))
 
 
 def family_fits(ages: list[int], low: Column, high: Column) -> Column:

@@ -28,15 +28,10 @@ def family_price(children: DataFrame, families: DataFrame, tickets: DataFrame, e
     replaces all of it only if it is strictly cheaper, holds all paying children, and no child lacks
     a ticket; its further adults pay too.
     """
-    listed = tickets.select("band", "adults_included").limit(1001).collect()  # a price list
-    if len(listed) > 1000:
-        raise ValueError("over 1,000 tickets")
-    included = {r["band"]: r["adults_included"] for r in listed}
-    per_ticket = F.create_map(*[F.lit(x) for kv in included.items() for x in kv])
-    own = band_join(children.select(family, age), age, tickets)
+    own = band_join(children.select(family, age), age, tickets, also=("adults_included",))
     sums = own.groupBy(F.col(family).alias("key")).agg(
         F.count("*").alias("children"), F.count_if(F.col("band").isNull()).alias("unmatched"), F.count_if(F.col("band_cost") > 0).alias("paying"),
-        F.coalesce(F.sum("band_cost"), F.lit(0)).cast("long").alias("ticket_cents"), F.coalesce(F.sum(F.element_at(per_ticket, F.col("band"))), F.lit(0)).alias("covered"),
+        F.coalesce(F.sum("band_cost"), F.lit(0)).cast("long").alias("ticket_cents"), F.coalesce(F.sum("adults_included"), F.lit(0)).alias("covered"),
     )
     f = families.select(family, "adults").join(sums, F.col(family) == F.col("key"), "left").na.fill(0, ["children", "unmatched", "paying", "ticket_cents", "covered"])
     f = f.withColumn("extra_adults", F.greatest(F.col("adults") - F.col("covered"), F.lit(0))).withColumn("total", F.col("ticket_cents") + F.col("extra_adults") * extra_adult)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sorrel.functions import ages, dates, logic, money, text
 from sorrel.operators import changes, joins, search, summaries
-from sorrel.plans import places
+from sorrel.plans import catalog, places
 from sorrel.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | places.QUERIES
+    return _QUERIES | places.QUERIES | catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | places.SQL
+    return _SQL | places.SQL | catalog.SQL
 
 
 def _cents(c: str) -> str:
@@ -225,7 +225,7 @@ def field_changes(spark, d):
     return changes.field_changes(*_snapshots(spark, d), "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
-@_query("""WITH c AS (SELECT c_custkey, c_name, c_nationkey FROM customer), n1 AS (SELECT c_nationkey AS k, count(*) AS n, min(CAST(c_custkey AS VARCHAR)) AS e FROM c WHERE c_custkey % 40 = 0 GROUP BY 1), n0 AS (SELECT regexp_replace(c_name, '[^0-9]', '', 'g') AS k, count(*) AS n, min(CAST(c_custkey AS VARCHAR)) AS e FROM c GROUP BY 1)
+@_query("""WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer), n1 AS (SELECT c_nationkey AS k, count(*) AS n, min(CAST(c_custkey AS VARCHAR)) AS e FROM c WHERE c_mktsegment = 'MACHINERY' GROUP BY 1), n0 AS (SELECT regexp_replace(c_name, '[^0-9]', '', 'g') AS k, count(*) AS n, min(CAST(c_custkey AS VARCHAR)) AS e FROM c GROUP BY 1)
 SELECT s_suppkey, CASE WHEN n0.n IS NOT NULL THEN 'number' WHEN n1.n IS NOT NULL THEN 'nation' ELSE 'none' END AS rule, CASE WHEN n0.n IS NOT NULL THEN 0.96 WHEN n1.n IS NOT NULL THEN 0.75 ELSE 0.0 END::DOUBLE AS confidence,
  coalesce(n0.n, n1.n, 0) AS candidates, CASE WHEN n0.n IS NOT NULL THEN CASE WHEN n0.n = 1 THEN n0.e END WHEN n1.n = 1 THEN n1.e END AS match_id
 FROM supplier LEFT JOIN n0 ON CASE WHEN s_suppkey % 3 = 0 THEN regexp_replace(s_name, '[^0-9]', '', 'g') END = n0.k LEFT JOIN n1 ON s_nationkey = n1.k""")
@@ -233,7 +233,7 @@ def entity_match(spark, d):
     """The first rule with a candidate decides; several candidates are ambiguous."""
     def digits(c):
         return F.regexp_replace(c, "[^0-9]", "")
-    rules = [("number", 0.96, F.when(F.col("s_suppkey") % 3 == 0, digits("s_name")), digits("c_name")), ("nation", 0.75, F.col("s_nationkey").cast("string"), F.when(F.col("c_custkey") % 40 == 0, F.col("c_nationkey").cast("string")))]
+    rules = [("number", 0.96, F.when(F.col("s_suppkey") % 3 == 0, digits("s_name")), digits("c_name")), ("nation", 0.75, F.col("s_nationkey").cast("string"), F.when(F.col("c_mktsegment") == "MACHINERY", F.col("c_nationkey").cast("string")))]
     return changes.match_entities(table(spark, d, "supplier"), table(spark, d, "customer"), "s_suppkey", "c_custkey", rules)
 
 
@@ -257,11 +257,13 @@ def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("body"))
 
 
-@_query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(lower(url), '^https?://([^/?#]+)', 1), '^www\.|:(80|443)$', '') AS h, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS path, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'msclkid', 'ref'))) AS q FROM pages)
-SELECT page_id, 'https://' || h || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM p WHERE h <> ''""")
+@_query(rf"""WITH p AS (SELECT page_id, lower(regexp_extract(trim(url), '^(https?)://', 1, 'i')) AS scheme, lower(regexp_extract(trim(url), '^https?://([^/?#]+)', 1, 'i')) AS host, regexp_extract(trim(url), '^https?://[^/?#]+([^?#]*)', 1, 'i') AS path,
+  list_sort(list_transform(list_filter(string_split(regexp_extract(trim(url), '\?([^#]*)', 1), '&'), lambda x: x <> '' AND (lower(split_part(x, '=', 1)) IN {text.IDENTITY} OR NOT (lower(split_part(x, '=', 1)) IN {text.TRACKING} OR regexp_matches(lower(x), '^(utm_|hsa_|pk_|piwik_|matomo_)')))), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)) AS q FROM pages),
+c AS (SELECT page_id, scheme, CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') ELSE regexp_replace(host, ':443$', '') END AS host, regexp_replace(regexp_replace(path, '/+', '/', 'g'), '(.)/$', '\1') AS path, q FROM p)
+SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM c WHERE host <> ''""")
 def url_canonical(spark, d):
-    """One form of each URL."""
-    return table(spark, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical")).where("canonical IS NOT NULL")
+    """One form of each web page's address."""
+    return table(spark, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical")).where("canonical LIKE 'http%'")
 
 
 @_query(r"""SELECT doc_id, regexp_extract(text, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS first_date, len(regexp_extract_all(text, '\$\s?[0-9][0-9,]*')) AS prices FROM documents""")
@@ -375,12 +377,12 @@ def upsert_merge(spark, d):
     return changes.upsert(old, new, "s_suppkey", {"s_name": "coalesce", "s_nationkey": "keep", "fact": "tri"})
 
 
-@_query("""WITH x AS (SELECT p_brand, p_type, min(p_size) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL), a AS (SELECT p_brand, min(p_size) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL)
+@_query("""WITH x AS (SELECT p_brand, p_type, min(p_size) AS v FROM part WHERE p_size <= 25 GROUP BY ALL), a AS (SELECT p_brand, min(p_size) AS v FROM part WHERE p_size <= 25 GROUP BY ALL)
 SELECT p_partkey, coalesce(x.v, a.v) AS p_size FROM part p LEFT JOIN x USING (p_brand, p_type) LEFT JOIN a USING (p_brand)""")
 def priority_lookup(spark, d):
     """The exact choice, else the least with the key."""
     p = table(spark, d, "part")
-    return joins.priority_lookup(p.select("p_partkey", "p_brand", "p_type"), p.where("p_partkey % 2 = 0").select("p_brand", "p_type", "p_size"), "p_brand", "p_type", "p_size").select("p_partkey", "p_size")
+    return joins.priority_lookup(p.select("p_partkey", "p_brand", "p_type"), p.where("p_size <= 25").select("p_brand", "p_type", "p_size"), "p_brand", "p_type", "p_size").select("p_partkey", "p_size")
 
 
 @_query("""SELECT o_orderkey, o_custkey, c_custkey IS NOT NULL AS available FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 2000) ON o_custkey = c_custkey""")

@@ -54,8 +54,16 @@ def test_text(spark):
     assert got[0] == got[1]
     html = "<html><head><title> T &amp; U </title><style>p{}</style><script>var t='</p>';</script></head><body><p>One<b> two</b></p><!-- x --><div>A &lt;b&gt; &amp;lt;</div><a class=q href='/x?y=1'>l</a><h2>He<i>ad</i></h2></body>"
     body, title, links, heads = values(spark, [(html,)], "h string", text.html_text(F.col("h")), text.html_title(F.col("h")), text.html_links(F.col("h")), text.headings(F.col("h")))[0]
-    assert body == "T & U\nOne two\nA <b> &lt;\nlHead" and title == "T &amp; U" and links == ["/x?y=1"] and heads == ["Head"]
+    assert body == "T & U\nOne two\nA <b> &lt;\nl\nHe ad" and title == "T &amp; U" and links == ["/x?y=1"] and heads == ["Head"]
     got = values(spark, [("HTTP://www.Example.com:80/a/?utm_source=x&b=2&a=1#top",), ("ftp://x/y",), (None,)], "u string", text.canonical_url(F.col("u")), text.host(F.col("u")))
-    assert got == [("https://example.com/a?a=1&b=2", "example.com"), (None, None), (None, None)]
-    got = values(spark, [("abcdef", "abXYef"), ("same", "same"), ("", "abc"), ("aa", "aaa")], "a string, b string", text.changed_span(F.col("a"), F.col("b")))
-    assert [g[0] for g in got] == [2, 0, 3, 1]
+    assert got == [("http://www.example.com/a?a=1&b=2", "example.com"), ("ftp://x/y", None), (None, None)]
+    forms = {
+        "https://www.example.com/summer-camp?utm_source=n&utm_medium=e&gclid=abc#pricing": "https://www.example.com/summer-camp", "https://example.com/reg?activityId=884&week=3&hsa_cam=1&utm_id=2": "https://example.com/reg?activityId=884&week=3",
+        "https://example.com/camps?ref=partner": "https://example.com/camps?ref=partner", "HTTPS://WWW.Example.COM:443/Summer-Camp/": "https://www.example.com/Summer-Camp",
+        "http://example.com:80/camps//summer/": "http://example.com/camps/summer", "https://example.com/": "https://example.com/", "https://example.com/r?week=2&session=a": "https://example.com/r?session=a&week=2", "no url": None,
+    }
+    assert [g[0] for g in values(spark, [(u,) for u in forms], "u string", text.canonical_url(F.col("u")))] == list(forms.values())
+    entities = {"Kids&#39; Camp &rsquo;": "Kids' Camp ’", "&#x1F600;&NDASH;&#8212;": "😀–—", "&nope; &amp;amp; &#0;": "&nope; &amp; &#0;", "a & b": "a & b", "": ""}
+    assert [g[0] for g in values(spark, [(u,) for u in entities], "u string", text.decode_entities(F.col("u")))] == list(entities.values())
+    got = values(spark, [("abcdef", "abXYef"), ("same", "same"), ("", "abc"), ("aa", "aaa"), ("abc", "xyz"), ("x" * 5000, "x" * 2000 + "y" + "x" * 3000)], "a string, b string", text.changed_span(F.col("a"), F.col("b")))
+    assert [g[0] for g in got] == [4, 0, 3, 1, 6, 1]

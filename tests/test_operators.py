@@ -117,6 +117,9 @@ def test_too_many_bands_are_an_error(spark):
 
     from sorrel.operators import joins
 
-    bands = spark.range(1001).selectExpr("id AS band", "id AS low", "id AS high", "id AS cost")
+    bands = spark.range(joins.MOST_BANDS + 1).selectExpr("id AS band", "id AS low", "id AS high", "id AS cost")
     with pytest.raises(ValueError):
         joins.band_join(spark.range(3).selectExpr("id AS v"), "v", bands)
+    many = bands.where("band < 5000")
+    got = joins.band_join(spark.range(4990, 5010).selectExpr("id AS v"), "v", many).collect()
+    assert [(r.v, r.band) for r in sorted(got)] == [(v, v if v < 5000 else None) for v in range(4990, 5010)]
