@@ -100,3 +100,16 @@ def test_draws_decode_to_their_texts(spark):
 def test_wrong_ids_do_not_decode(lat):
     ids = G.sample_segmentations(lat, [lat.sp.normalize("the cat")], [1], 1)[0][0][3].tolist()
     assert lat.spell(ids) == lat.sp.normalize("the cat").encode() != lat.spell(ids[:-1])
+
+
+@pytest.mark.parametrize("text", ["abcdefghij" * 20_000, "漢字仮名交" * 40_000])
+def test_long_texts_without_spaces_take_little_memory(lat, text):
+    import tracemalloc
+
+    norm = lat.sp.normalize(text)
+    tracemalloc.start()
+    found = G.sample_segmentations(lat, [norm], [7], 2)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lat._clear()
+    assert peak < 600 << 20 and len(found) >= 1 and all(lat.spell(ids) == norm.encode() for *_, ids in found)
