@@ -12,10 +12,13 @@ KEPT_WORDS = 1_000_000
 #: Words that it may keep between tasks; a worker with more drops them all at a task's end, as other stages need the memory.
 IDLE_WORDS = 600_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # no apostrophe: it may start a contraction
-_LATIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+").fullmatch
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_LATIN = re.compile(f" ?[{_LETTERS}]+").fullmatch
+_ENDED = re.compile(f"( ?[{_LETTERS}]+)([{re.escape(_MARKS)}]+)").fullmatch
 #: How byte-level files write bytes: those of visible Latin-1 characters as themselves, the others from U+0100 on, in order.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_SPACE = chr(_BYTE_CHARS[0x20])
 _RARE = re.compile(r"[^\S \n]").search  # white space other than spaces and line ends
 
 
@@ -39,6 +42,7 @@ class WordTokenizer:
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True
         self._merges = self._t.model
+        getattr(self._merges, "_resize_cache", lambda n: None)(0)  # the words are kept here, and each is new to the model
         self._words: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -46,7 +50,8 @@ class WordTokenizer:
 
     def _letters(self, word: str) -> bytes:
         """Ids of a word of letters; the merges are of bytes, written as characters."""
-        return array("I", [t.id for t in self._merges.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+        chars = word.replace(" ", _SPACE) if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array("I", [t.id for t in self._merges.tokenize(chars)]).tobytes()
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -73,8 +78,12 @@ class WordTokenizer:
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of words not kept; keeps them while there is room."""
-        words = self._words
-        split = {w: ps for w in new if not w[1:].isalpha() and not _RARE(w) and len(ps := self._pieces(w)) > 1}
+        words, split = self._words, {}
+        for w in new:
+            if m := _ENDED(w):
+                split[w] = m.groups()
+            elif not w[1:].isalpha() and not _RARE(w) and len(ps := self._pieces(w)) > 1:
+                split[w] = ps
         todo = list({p for p in chain(new, *split.values()) if p not in words and p not in split})
         ids = {w: self._letters(w) for w in todo if _LATIN(w)}
         todo = [w for w in todo if w not in ids]

@@ -155,8 +155,8 @@ class WaveletShard:
             packed = b"".join(self._z.decompress(data[places[k] : places[k + 1]]) for k in range(len(places) - 1))
             one = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n, bitorder="little").astype(bool)
             out = np.empty_like(seq)
-            out[~one] = seq[: self.zeros[level]]
-            out[one] = seq[self.zeros[level] :] | seq.dtype.type(1 << (self.bits - 1 - level))
+            out[np.flatnonzero(~one)] = seq[: self.zeros[level]]
+            out[np.flatnonzero(one)] = seq[self.zeros[level] :] | seq.dtype.type(1 << (self.bits - 1 - level))
             seq = out
         return seq
 
