@@ -40,12 +40,13 @@ def in_season(month: Column, start: Column, end: Column) -> Column:
 
 
 def hours_since(then: Column, now: Column) -> Column:
-    """Whole hours between two instants."""
-    return F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 3600).cast("long")
+    """Hours between two instants, none if the first is later."""
+    return F.greatest(F.lit(0.0), (F.unix_timestamp(now) - F.unix_timestamp(then)) / 3600)
 
 
-def freshness(hours: Column, fresh: int = 24, aging: int = 72) -> Column:
-    return F.when(hours.isNull(), "never").when(hours <= fresh, "fresh").when(hours <= aging, "aging").otherwise("stale")
+def freshness(hours: Column, fresh: int = 24, recent: int = 72) -> Column:
+    """The label of a source that was checked so many hours ago; fixed values of the catalog."""
+    return F.when(hours.isNull(), "Unknown").when(hours <= fresh, "Fresh").when(hours <= recent, "Recently checked").otherwise("Stale")
 
 
 def iso_date(text: Column) -> Column:

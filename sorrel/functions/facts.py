@@ -89,7 +89,7 @@ def canonical(value: Column, kind: T.DataType, excluded: frozenset[str] = frozen
     elif isinstance(kind, T.ArrayType):
         out = F.concat(F.lit("["), F.array_join(F.array_sort(F.transform(value, lambda x: canonical(x, kind.elementType, excluded))), ","), F.lit("]"))
     elif isinstance(kind, T.MapType):
-        pairs = F.transform(F.map_entries(value), lambda e: F.concat(F.to_json(F.struct(e["key"].cast("string").alias("k"))), F.lit(":"), canonical(e["value"], kind.valueType, excluded)))
+        pairs = F.transform(F.map_entries(value), lambda e: F.concat(canonical(e["key"].cast("string"), T.StringType()), F.lit(":"), canonical(e["value"], kind.valueType, excluded)))
         out = F.concat(F.lit("{"), F.array_join(F.array_sort(pairs), ","), F.lit("}"))
     else:
         out = F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", "$1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sorrel.functions.dates import local_day
+from sorrel.functions.dates import ZONE, local_day
 
 STATES = ("registration_open", "registration_closed", "no_upcoming_dates", "waitlist", "not_yet_open", "availability_unknown")
 
@@ -23,17 +23,19 @@ def registration_action(seat: Column, status: Column, register_url: Column, wait
     return F.when(F.coalesce(full, F.lit(False)), closed).otherwise(F.struct(state.alias("state"), F.when(status == "waitlist", wait).otherwise(register).alias("url")))
 
 
-def seat_line(state: Column, left: Column, checked_at: Column, manual_day: Column, now: Column) -> Column:
-    """struct<text, tone> of a reading that is younger than seven days and not older than the manual check's day; counts only within two hours."""
+def seat_line(state: Column, left: Column, checked_at: Column, manual_day: Column, now: Column, zone: str = ZONE) -> Column:
+    """struct<text, tone> of a reading that is younger than seven days and not older than the manual check's day; counts only within two hours, with the local time of the check, later with its day."""
     age = F.unix_timestamp(now) - F.unix_timestamp(checked_at)
-    usable = state.isin("available", "full", "waitlist") & F.coalesce(left >= 0, F.lit(True)) & (age < 7 * 86400) & F.coalesce(manual_day <= local_day(checked_at), F.lit(True))
+    usable = state.isin("available", "full", "waitlist") & F.coalesce(left >= 0, F.lit(True)) & (age < 7 * 86400) & F.coalesce(manual_day <= local_day(checked_at, zone), F.lit(True))
+    at, fresh = F.from_utc_timestamp(checked_at, zone), age < 2 * 3600
+    when = F.concat(F.lit(" · checked "), F.when(fresh, F.lower(F.date_format(at, "h:mm a"))).otherwise(F.date_format(at, "MMM d")))
 
     def line(text: Column, tone: Column | str) -> Column:
-        return F.struct(text.alias("text"), (F.lit(tone) if isinstance(tone, str) else tone).alias("tone"))
+        return F.struct(F.concat(text, when).alias("text"), (F.lit(tone) if isinstance(tone, str) else tone).alias("tone"))
 
     out = (
         F.when(~F.coalesce(usable, F.lit(False)), None).when((state == "full") | ((state == "available") & (left == 0)), line(F.lit("Full"), "full"))
-        .when(state == "waitlist", line(F.lit("Full, waitlist open"), "full")).when((age >= 2 * 3600) | left.isNull(), line(F.lit("Spots available"), "open"))
+        .when(state == "waitlist", line(F.lit("Full · waitlist open"), "full")).when(~fresh | left.isNull(), line(F.lit("Spots available"), "open"))
     )
     return out.otherwise(line(F.concat(left.cast("string"), F.when(left == 1, " spot left").otherwise(" spots left")), F.when(left <= 5, "warning").otherwise("open")))
 

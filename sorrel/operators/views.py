@@ -80,12 +80,13 @@ def shred(records: DataFrame, key: str, lists: dict[str, str]) -> dict[str, Data
     return {name: records.select(key, F.posexplode(column).alias("position", "item")).select(key, "position", "item.*") for name, column in lists.items()}
 
 
-def location_rank(name: Column, region: Column, query: str) -> Column:
-    """0 the name begins with the query, 1 each word of it begins a word of the name, 2 the region holds it so, 3 the name holds it (three characters or more); null for no hit."""
+def location_rank(name: Column, region: Column, query: str, code: Column | None = None) -> Column:
+    """0 the name begins with the query, 1 each word of it begins a word of the name, 2 the region does so or the query is its code (5, r5 or region 5), 3 the name holds it (three characters or more); null for no hit."""
     q, words = query.lower().strip(), query.lower().split()
     low, area = F.lower(name), F.lower(region)
 
     def begins(text: Column) -> Column:
-        return F.forall(F.array(*map(F.lit, words)), lambda w: F.exists(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x.startswith(w)))
+        return F.forall(F.array(*map(F.lit, words)), lambda w: F.exists(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x.startswith(w))) if words else F.lit(False)
 
-    return F.when(low.startswith(q), 0).when(begins(low), 1).when(begins(area), 2).when(F.lit(len(q) >= 3) & low.contains(q), 3)
+    coded = F.lit(q).isin(code, F.concat(F.lit("r"), code), F.concat(F.lit("region "), code)) if code is not None else F.lit(False)
+    return F.when(low.startswith(q), 0).when(begins(low), 1).when(area.startswith(q) | begins(area) | F.coalesce(coded, F.lit(False)), 2).when(F.lit(len(q) >= 3) & low.contains(q), 3)

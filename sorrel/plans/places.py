@@ -136,8 +136,8 @@ def registration_actions(spark, d):
     return table(spark, d, "orders").select("o_orderkey", a.alias("a")).select("o_orderkey", "a.state", "a.url")
 
 
-@_query("""WITH n AS (SELECT date_trunc('second', max(ts)) AS now FROM events), x AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'unknown' WHEN 'view' THEN 'full' WHEN 'click' THEN 'waitlist' ELSE 'available' END AS state, CASE WHEN user_id % 5 = 0 THEN NULL ELSE event_id % 8 END AS spots, epoch(now) - epoch(date_trunc('second', ts)) AS age FROM events, n)
-SELECT event_id, CASE WHEN state = 'unknown' OR age >= 604800 THEN NULL WHEN state = 'full' OR (state = 'available' AND spots = 0) THEN 'Full' WHEN state = 'waitlist' THEN 'Full, waitlist open' WHEN age >= 7200 OR spots IS NULL THEN 'Spots available' ELSE spots || CASE WHEN spots = 1 THEN ' spot left' ELSE ' spots left' END END AS text,
+@_query("""WITH n AS (SELECT date_trunc('second', max(ts)) AS now FROM events), x AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'unknown' WHEN 'view' THEN 'full' WHEN 'click' THEN 'waitlist' ELSE 'available' END AS state, CASE WHEN user_id % 5 = 0 THEN NULL ELSE event_id % 8 END AS spots, epoch(now) - epoch(date_trunc('second', ts)) AS age, timezone('America/Toronto', timezone('UTC', ts)) AS seen FROM events, n)
+SELECT event_id, CASE WHEN state = 'unknown' OR age >= 604800 THEN NULL WHEN state = 'full' OR (state = 'available' AND spots = 0) THEN 'Full' WHEN state = 'waitlist' THEN 'Full · waitlist open' WHEN age >= 7200 OR spots IS NULL THEN 'Spots available' ELSE spots || CASE WHEN spots = 1 THEN ' spot left' ELSE ' spots left' END END || ' · checked ' || CASE WHEN age < 7200 THEN lower(strftime(seen, '%-I:%M %p')) ELSE strftime(seen, '%b %-d') END AS text,
  CASE WHEN state = 'unknown' OR age >= 604800 THEN NULL WHEN state = 'full' OR state = 'waitlist' OR spots = 0 THEN 'full' WHEN age >= 7200 OR spots IS NULL OR spots > 5 THEN 'open' ELSE 'warning' END AS tone FROM x""")
 def seat_lines(spark, d):
     """Seat lines of readings, by their age."""
@@ -269,7 +269,7 @@ def addon_quantities(spark, d):
 def location_search(spark, d):
     """Places ranked by how their name or region holds the query."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.select("n_nationkey", views.location_rank(F.col("n_name"), F.col("r_name"), "A").alias("rank")).where("rank IS NOT NULL")
+    return n.select("n_nationkey", views.location_rank(F.col("n_name"), F.col("r_name"), "A", F.col("r_regionkey").cast("string")).alias("rank")).where("rank IS NOT NULL")
 
 
 @_query("""SELECT o_custkey, date_trunc('day', o_orderdate) AS start, count(*) AS orders, max(o_totalprice) AS top FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL""")

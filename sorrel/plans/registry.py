@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sorrel.functions import ages, dates, logic, money, text
 from sorrel.operators import changes, joins, search, summaries
-from sorrel.plans import catalog, places
+from sorrel.plans import catalog, ingest, places
 from sorrel.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | places.QUERIES | catalog.QUERIES
+    return _QUERIES | places.QUERIES | catalog.QUERIES | ingest.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | places.SQL | catalog.SQL
+    return _SQL | places.SQL | catalog.SQL | ingest.SQL
 
 
 def _cents(c: str) -> str:
@@ -273,14 +273,14 @@ def free_text_facts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_extract(t, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1).alias("first_date"), F.size(F.regexp_extract_all(t, F.lit(r"\$\s?[0-9][0-9,]*"), 0)).cast("long").alias("prices"))
 
 
-@_query("""SELECT user_id, last_ts, CAST(floor((epoch(n) - epoch(last_ts)) / 3600) AS BIGINT) AS hours, CASE WHEN floor((epoch(n) - epoch(last_ts)) / 3600) <= 24 THEN 'fresh' WHEN floor((epoch(n) - epoch(last_ts)) / 3600) <= 72 THEN 'aging' ELSE 'stale' END AS tier
+@_query("""SELECT user_id, last_ts, CAST(floor((epoch(n) - epoch(last_ts)) / 3600) AS BIGINT) AS hours, CASE WHEN epoch(n) - epoch(last_ts) <= 86400 THEN 'Fresh' WHEN epoch(n) - epoch(last_ts) <= 259200 THEN 'Recently checked' ELSE 'Stale' END AS tier
 FROM (SELECT user_id, date_trunc('second', max(ts)) AS last_ts FROM events GROUP BY user_id), (SELECT date_trunc('second', max(ts)) AS n FROM events)""")
 def freshness_tiers(spark, d):
     """How fresh each source's last event is, against the newest."""
     e = table(spark, d, "events").select("user_id", F.date_trunc("second", "ts").alias("ts"))
     now = F.lit(e.agg(F.max("ts").alias("now")).first()["now"])  # one instant
     hours = dates.hours_since(F.col("last_ts"), now)
-    return e.groupBy("user_id").agg(F.max("ts").alias("last_ts")).select("user_id", "last_ts", hours.alias("hours"), dates.freshness(hours).alias("tier"))
+    return e.groupBy("user_id").agg(F.max("ts").alias("last_ts")).select("user_id", "last_ts", F.floor(hours).cast("long").alias("hours"), dates.freshness(hours).alias("tier"))
 
 
 @_query("""SELECT c_custkey, next_at, row_number() OVER (ORDER BY next_at NULLS FIRST, c_custkey) AS place FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE max(o_orderdate) END AS next_at FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 0 GROUP BY c_custkey)

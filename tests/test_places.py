@@ -39,7 +39,7 @@ def test_registration(spark):
     now = F.lit(datetime(2026, 3, 10, 12))
     line = registration.seat_line(F.col("s"), F.col("n"), F.col("c"), F.lit(None).cast("date"), now)
     got = values(spark, [("available", 1, datetime(2026, 3, 10, 11)), ("available", 9, datetime(2026, 3, 9)), ("full", 0, datetime(2026, 3, 1)), ("available", -1, datetime(2026, 3, 10, 11))], "s string, n int, c timestamp", line)
-    assert [None if g[0] is None else tuple(g[0]) for g in got] == [("1 spot left", "warning"), ("Spots available", "open"), None, None]
+    assert [None if g[0] is None else tuple(g[0]) for g in got] == [("1 spot left · checked 7:00 am", "warning"), ("Spots available · checked Mar 8", "open"), None, None]
     got = values(spark, [("10.1.2.3",), ("example.org",), ("localhost",), ("[::1]",), ("172.32.0.1",)], "h string", registration.unsafe_host(F.col("h")))
     assert [g[0] for g in got] == ["private_ip", None, "blocked_name", "private_ip", None]
 
