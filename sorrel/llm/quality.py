@@ -150,20 +150,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Fac
     return FactorizationMachine.fit(pairs, np.array(got.column("label").to_pylist(), np.float64))
 
 
-def apply_quality(docs: DataFrame, fm: FactorizationMachine) -> DataFrame:
-    """``docs`` with ``fm_score``; every whole text is scored, null as empty."""
-    names = [c for c in docs.columns if c != "fm_score"]
+def apply_quality(docs: DataFrame, fm: FactorizationMachine, carried: Column) -> DataFrame:
+    """(row, score): ``carried`` (a struct of columns of ``docs``) and the score of the row's whole text, null as empty."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            scores = [fm.score(*features(t.as_py())) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*names, "fm_score"])
+            scores = [fm.score(*features(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
-    src = docs.select(*names, F.col("text").cast("string").alias("fm_text"))
-    return src.mapInArrow(run, src.drop("fm_text").schema.add("fm_score", "double"))
+    src = docs.select(carried.alias("row"), F.col("text").cast("string").alias("text"))
+    return src.mapInArrow(run, src.drop("text").schema.add("score", "double"))
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = FIT_ROWS) -> DataFrame:
@@ -173,11 +171,14 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, thres
     Repeated rows get the same score, a row each. Without labels of both kinds the score is constant.
     An empty table gives no rows. Of further columns, none is read.
     """
-    fm = fit_quality(docs, labels, rows)
-    scored = apply_quality(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fm)
-    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), F.col("fm_score").alias("score"), (F.col("fm_score") >= threshold).cast("int").alias("predicted"))
+    scored = apply_quality(docs, fit_quality(docs, labels, rows), F.struct(F.col("doc_id").cast("long").alias("doc_id")))
+    return scored.select("row.doc_id", F.coalesce(remainder(F.col("row.doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that are predicted good."""
-    return apply_quality(docs, fit_quality(docs, labels)).where(F.col("fm_score") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that are predicted good, with all their columns, whatever they are named.
+
+    Null and empty texts and null doc_ids are judged like others, each row by itself; repeated rows
+    stay or go together. An empty table gives an empty one.
+    """
+    return apply_quality(docs, fit_quality(docs, labels), F.struct("*")).where(F.col("score") >= threshold).select("row.*")

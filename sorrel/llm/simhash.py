@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorrel.llm.blocks import BOTH, SIDE_A, SIDE_B, Forest, bucket_blocks
@@ -44,17 +44,19 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long; null and empty texts have zero."""
+def fingerprints(docs: DataFrame, words: int = 3, carried: Column | None = None) -> DataFrame:
+    """(doc_id, fp), or (row, doc_id, fp) with ``carried`` as row: the fingerprint as a signed long; null and empty texts have zero."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, words) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], [*batch.schema.names[:-1], "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    row = [] if carried is None else [carried.alias("row")]
+    src = docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return src.mapInArrow(run, src.drop("text").schema.add("fp", "long"))
 
 
 class VantageTrees:
@@ -160,6 +162,20 @@ def close_edges(reps: DataFrame, ws: Workspace, radius: int = 3) -> DataFrame:
     return dealt.groupBy("tree", "leaf", "block_a", "block_b").applyInPandas(compare, "a long, b long")
 
 
+def fingerprint_groups(fps: DataFrame, ws: Workspace, radius: int, least: Column) -> DataFrame:
+    """(key, least): each distinct ``fp`` of the written table ``fps`` and the least value of ``least`` over its component."""
+    reps = ws.table(fps.groupBy("fp").agg(F.min(least).alias("least")), "reps")
+    edges = ws.table(close_edges(reps, ws, radius), "edges")
+    ws.drop("visits")
+    roots = ws.table(components(edges, ws), "roots")
+    joined = ws.table(reps.join(roots, reps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "joined")
+    lowest = ws.table(joined.groupBy(F.col("root").alias("group")).agg(F.min("least").alias("lowest")), "lowest")
+    named = ws.table(joined.join(lowest, joined.root == lowest.group).select(F.col("fp").alias("key"), F.col("lowest").alias("least")), "named")
+    for name in ("reps", "edges", "roots", "joined", "lowest", "large-leaves"):
+        ws.drop(name)
+    return named
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
@@ -170,26 +186,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 3, radius
     """
     ws = Workspace(spark, "simhash")
     fps = ws.table(fingerprints(docs, words), "fps")
-    reps = ws.table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "reps")
-    edges = ws.table(close_edges(reps, ws, radius), "edges")
-    ws.drop("visits")
-    roots = ws.table(components(edges, ws), "roots")
-    joined = ws.table(reps.join(roots, reps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "joined")
-    least = ws.table(joined.groupBy(F.col("root").alias("group")).agg(F.min("first_id").alias("component_id")), "least")
-    named = ws.table(joined.join(least, joined.root == least.group).select(F.col("fp").alias("key"), "component_id"), "named")
-    for name in ("reps", "edges", "roots", "joined", "least", "large-leaves"):
-        ws.drop(name)
-    return fps.join(named, fps.fp == named.key).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = fingerprint_groups(fps, ws, radius, F.col("doc_id"))
+    return fps.join(named, fps.fp == named.key).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's, one row for each doc_id; rows without a doc_id stay."""
+    """One row of each component of ``docs``, with all its columns, whatever they are named.
+
+    The row of the smallest doc_id stays; a row without a doc_id only where no row of the component
+    has one. Of rows that share that doc_id, one stays. Null and empty texts are one component. An
+    empty table gives an empty one.
+    """
     ws = Workspace(spark, "simhash-keep")
-    groups = near_duplicates(spark, docs, words, radius)
-    keep = ws.table(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("keep_rows")), "keep")
-    kept = docs.join(keep, docs.doc_id == keep.keep_id)
-    out = kept.select(*[docs[c] for c in docs.columns])
-    if keep.where("keep_rows > 1").limit(1).count():
-        again = kept.where("keep_rows > 1").select(*[docs[c] for c in docs.columns])
-        out = kept.where("keep_rows = 1").select(*[docs[c] for c in docs.columns]).unionByName(again.dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    rows = ws.table(fingerprints(docs, words, F.struct("*")).withColumn("at", F.monotonically_increasing_id()), "rows")
+    named = fingerprint_groups(rows, ws, radius, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("at")))
+    keep = ws.table(named.select(F.col("least.at").alias("keep_at")).distinct(), "keep")
+    return rows.join(keep, rows.at == keep.keep_at, "left_semi").select("row.*")

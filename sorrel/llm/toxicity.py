@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from sorrel.llm.quality import labelled_sample, remainder
 from sorrel.llm.workspace import Workspace
@@ -21,6 +22,8 @@ LEXICON_ROWS, FIT_ROWS = 12_000, 60_000
 #: Terms of a lexicon, at most, and the rows that a term must stand in.
 TERMS, MIN_ROWS = 4000, 3
 PREFIXES = (4, 5, 6)
+#: Parts of the labelled rows, by a hash of their doc_id, and their shares: lexicon and trees learn from one, the calibration from the other.
+PARTS = {"learning": 3, "calibration": 1}
 #: Second-person words of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te ti toi ton ta tes vous votre vos usted ustedes vosotros tus su du dich dir dein deine deinen ihr euch euer sie".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -47,9 +50,19 @@ class Lexicon:
         return found
 
 
+def part_of(fit_id: Column, part: str) -> Column:
+    """Whether a labelled row belongs to a part."""
+    names = list(PARTS)
+    low = sum(PARTS[p] for p in names[: names.index(part)])
+    return F.pmod(F.xxhash64(fit_id, F.lit(7)), F.lit(sum(PARTS.values()))).between(low, low + PARTS[part] - 1)
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = LEXICON_ROWS) -> Lexicon:
-    """Count, for each word and word beginning, the toxic and other rows of a bounded labelled sample that hold it."""
-    sample = F.broadcast(labelled_sample(labels, "toxic", FOLDS, HELD, rows))  # at most ``rows`` pairs of numbers
+    """Count, for each word and word beginning, the toxic and other rows of a bounded labelled sample that hold it.
+
+    The lexicon holds the TERMS best by their count and ratio."""
+    own = labels.where(part_of(F.col("doc_id").cast("long"), "learning"))
+    sample = F.broadcast(labelled_sample(own, "toxic", FOLDS, HELD, rows))  # at most ``rows`` pairs of numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).join(sample, F.col("doc_id") == F.col("fit_id"))
     words = F.array_distinct(F.filter(F.split("text", r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
     starts = [F.transform(F.filter("words", _longer(n)), _start(n)) for n in PREFIXES]
@@ -103,43 +116,45 @@ def dense_features(text: str | None, lexicon: Lexicon) -> list[float]:
     ]
 
 
-def feature_table(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, features array<double>) for each row."""
+def feature_table(docs: DataFrame, lexicon: Lexicon, carried: Column) -> DataFrame:
+    """(row, features array<double>) for each row of ``docs``; ``carried`` is a struct that holds its doc_id."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             rows = [dense_features(t.as_py(), lexicon) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["row", "features"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, features array<double>")
+    src = docs.select(carried.alias("row"), F.col("text").cast("string").alias("text"))
+    return src.mapInArrow(run, src.drop("text").schema.add("features", ArrayType(DoubleType())))
 
 
 def _margin(frame: DataFrame) -> DataFrame:
     return frame.withColumn("margin", F.element_at(vector_to_array("rawPrediction"), 2))
 
 
-def fit_and_score(table: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, trees: int = 12, depth: int = 3) -> DataFrame:
-    """``table`` (doc_id, features; written) with ``gbt_score``: boosted trees, calibrated on rows they weren't fitted on.
+def fit_and_score(table: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, trees: int = 12, depth: int = 3, keep_margin: bool = False) -> DataFrame:
+    """(row, features, gbt_score) of ``table`` (row, features; written): boosted trees, calibrated on rows they weren't fitted on.
 
-    Trees and calibration learn from labelled rows outside the held fold, a quarter of them for
-    calibration. If either part lacks a label, the score is the smoothed share of toxic rows.
+    Trees learn from the labelled rows outside the held fold that the lexicon is learned from, the
+    calibration from others, which neither has seen. If either part lacks a label, the score is the
+    smoothed share of toxic rows. Rows of one margin are one weighted point of the calibration.
     """
     sample = labelled_sample(labels, "toxic", FOLDS, HELD, rows)
-    known = table.join(F.broadcast(sample), F.col("doc_id") == F.col("fit_id")).dropDuplicates(["fit_id"])
-    known = known.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"), (F.pmod(F.xxhash64("fit_id", F.lit(7)), F.lit(4)) == 0).alias("calibrates")).repartition(8).cache()
+    known = table.join(F.broadcast(sample), F.col("row.doc_id").cast("long") == F.col("fit_id")).dropDuplicates(["fit_id"])
+    known = known.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"), part_of(F.col("fit_id"), "calibration").alias("calibrates")).repartition(8).cache()
     counts = {(r["calibrates"], r["label"]): r["n"] for r in known.groupBy("calibrates", "label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 4:
         toxic, n = sum(v for (_, y), v in counts.items() if y), sum(counts.values())
         known.unpersist()
         return table.withColumn("gbt_score", F.lit((toxic + 0.5) / (n + 1.0)))
     gbt = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, minInstancesPerNode=5, seed=5, checkpointInterval=-1).fit(known.where("NOT calibrates"))
-    margins = _margin(gbt.transform(known.where("calibrates"))).select("label", "margin")
-    isotonic = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="gbt_score").fit(margins)
+    margins = _margin(gbt.transform(known.where("calibrates"))).groupBy("margin").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    isotonic = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight", predictionCol="gbt_score").fit(margins)
     known.unpersist()
     out = _margin(gbt.transform(table.withColumn("plain", F.col("features")).withColumn("features", array_to_vector("features"))))
-    return isotonic.transform(out).select("doc_id", F.col("plain").alias("features"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "gbt_score")).alias("gbt_score"))
+    return isotonic.transform(out).select("row", F.col("plain").alias("features"), *(["margin"] if keep_margin else []), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "gbt_score")).alias("gbt_score"))
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -150,13 +165,16 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
     further columns, none is read.
     """
     ws = Workspace(spark, "toxicity")
-    table = ws.table(feature_table(docs, learn_lexicon(docs, labels)), "features")
+    table = ws.table(feature_table(docs, learn_lexicon(docs, labels), F.struct(F.col("doc_id").cast("long").alias("doc_id"))), "features")
     scored = fit_and_score(table, labels)
-    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), F.col("gbt_score").alias("score"), (F.col("gbt_score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("row.doc_id", F.coalesce(remainder(F.col("row.doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), F.col("gbt_score").alias("score"), (F.col("gbt_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic. Rows that share a doc_id go if any of them is; rows without one stay."""
-    scored = score_toxicity(spark, docs, labels, threshold)
-    toxic = Workspace(spark, "toxicity-out").table(scored.where("predicted = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("toxic_id")).distinct(), "toxic")
-    return docs.join(toxic, docs.doc_id == toxic.toxic_id, "left_anti")
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns, whatever they are named.
+
+    Null and empty texts and null doc_ids are judged like others, each row by itself; repeated rows
+    stay or go together. An empty table gives an empty one.
+    """
+    table = Workspace(spark, "toxicity").table(feature_table(docs, learn_lexicon(docs, labels), F.struct("*")), "features")
+    return fit_and_score(table, labels).where(F.col("gbt_score") < threshold).select("row.*")

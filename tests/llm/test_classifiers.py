@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cases import documents, texts
 from sorrel.llm import quality as Q
@@ -64,14 +65,46 @@ def test_machine_learns_a_product():
     assert np.mean([(fm.score(*r) >= 0.5) == y for r, y in zip(rows, labels)]) > 0.95
 
 
-def test_labels_of_the_held_fold_change_nothing(spark):
-    docs = table(spark, "documents", "/root/testdata/sf0.001")
-    labels = table(spark, "labels", "/root/testdata/sf0.001").toPandas()
+@pytest.mark.parametrize("score, column, folds, fold", [(Q.score_quality, "quality", 5, 0), (T.score_toxicity, "toxic", 3, 1)])
+def test_labels_of_the_held_fold_change_nothing(spark, score, column, folds, fold):
+    docs = table(spark, "documents", "/root/testdata/sf0.01")
+    labels = table(spark, "labels", "/root/testdata/sf0.01").toPandas()
     other = labels.copy()
-    held = [zlib.crc32(str(d).encode()) % 5 == 0 for d in other.doc_id]
-    other.loc[held, "quality"] = 1 - other.loc[held, "quality"]
-    a, b = (dict(Q.score_quality(spark, docs, spark.createDataFrame(x)).select("doc_id", "score").collect()) for x in (labels, other))
-    assert a == b
+    held = [zlib.crc32(str(d).encode()) % folds == fold for d in other.doc_id]
+    other.loc[held, column] = 1 - other.loc[held, column]
+    a, b = (dict(score(spark, docs, spark.createDataFrame(x)).select("doc_id", "score").collect()) for x in (labels, other))
+    assert a == b and len(set(a.values())) > 1
+
+
+def test_parts_of_the_labels_do_not_overlap(spark):
+    ids = spark.range(3000).select(F.col("id").alias("fit_id"))
+    parts = ids.select(*[T.part_of(F.col("fit_id"), p).cast("int").alias(p) for p in T.PARTS]).collect()
+    assert all(sum(r) == 1 for r in parts) and all(sum(r[p] for r in parts) > 500 for p in T.PARTS)
+
+
+def test_scores_are_the_isotonic_fit_of_the_trees_margins(spark):
+    """The scores against a plain pool-adjacent-violators fit of the calibration rows' margins."""
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=18).tolist(), i) for i in range(600)]
+    truth = {i: int(x[0] + x[3] + 0.5 * rng.normal() > 0.8) for i, x, _ in rows}
+    docs = spark.createDataFrame([((i,), x) for i, x, _ in rows], "row struct<doc_id: long>, features array<double>")
+    labels = spark.createDataFrame([(i, 0, y) for i, y in truth.items()], LABELS)
+    scored = {r.row.doc_id: (r.margin, r.gbt_score) for r in T.fit_and_score(docs, labels, keep_margin=True).collect()}
+    own = [r.fit_id for r in spark.range(600).select(F.col("id").alias("fit_id")).where(T.part_of(F.col("fit_id"), "calibration")).collect() if zlib.crc32(str(r.fit_id).encode()) % 3 != 1]
+    points = {}
+    for i in own:
+        points.setdefault(scored[i][0], []).append(truth[i])
+    blocks = []
+    for m in sorted(points):
+        blocks.append([sum(points[m]), len(points[m]), [m]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            s, n, ms = blocks.pop()
+            blocks[-1][0] += s
+            blocks[-1][1] += n
+            blocks[-1][2] += ms
+    for s, n, ms in blocks:
+        for m in ms:
+            assert all(abs(score - s / n) < 1e-9 for x, score in scored.values() if x == m)
 
 
 def test_obfuscated_and_stretched_words_count():

@@ -68,8 +68,10 @@ def test_query_equals_brute_force(spark, monkeypatch, leaf, home, visitors):
         if d is not None:
             least[root[f]] = min(d, least.get(root[f], d))
     assert sorted(got, key=str) == sorted(((d, f, least.get(root[f])) for d, f in fp), key=str)
-    kept = [r.doc_id for r in S.one_of_each_group(spark, documents(spark, rows)).collect()]
-    assert sorted(x for x in kept if x is not None) == sorted({least[root[f]] for d, f in fp if d is not None}) and kept.count(None) == 2
+    kept = S.one_of_each_group(spark, documents(spark, rows)).collect()
+    # One row for each component: its smallest doc_id; the row without one only where the component has no other.
+    assert sorted(root[plain_fingerprint(r.text)] for r in kept) == sorted(set(root.values()))
+    assert all(r.doc_id == least.get(root[plain_fingerprint(r.text)]) for r in kept) and [r.text for r in kept if r.doc_id is None] == ["no id at all"]
 
 
 def test_visits_cover_all_close_pairs():
