@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, embedding array<double>, dim) of the rows that take part.
+    """(vec_id, label, embedding, dim) of the rows that take part; dim is the vector's length.
 
     A vector that is null, empty or zero, or that holds a null or non-finite component, takes no
-    part; nor does one without an id, or of another length than most vectors have.
+    part, nor does one without an id. Vectors of different lengths have no product: operators
+    compare those of one length only. Floats stay floats; other numbers become doubles.
     """
-    e = F.col("embedding").cast("array<double>")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    e = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     label = F.col("label") if "label" in vectors.columns else F.lit(None)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.cast("string").alias("label"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    dim = sizes[0]["dim"] if sizes else 1
-    return rows.where(F.size("embedding") == dim).withColumn("dim", F.lit(dim))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.cast("string").alias("label"), e.alias("embedding"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).withColumn("dim", F.size("embedding"))
 
 
-def matrix(column) -> np.ndarray:
-    """A pandas or Arrow column of equally long lists as a matrix of doubles."""
-    rows = column.to_numpy()
-    return np.array(rows.tolist(), np.float64) if len(rows) and not isinstance(rows[0], np.ndarray) else np.stack(rows).astype(np.float64) if len(rows) else np.zeros((0, 1))
+def matrix(column, width: int) -> np.ndarray:
+    """A pandas column of lists as a matrix of doubles; shorter lists are followed by zeros."""
+    out = np.zeros((len(column), width))
+    for i, v in enumerate(column.to_numpy()):
+        out[i, : len(v)] = v
+    return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -69,6 +69,22 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, cap):
     assert got[None] == (0, None) and got[902] == (0, 902)
 
 
+def test_different_vectors_of_one_id(spark):
+    a, b = [1.0, 0, 0, 0, 0, 0, 0, 0], [0, 1.0, 0, 0, 0, 0, 0, 0]
+    near_a, near_b = [1.0, 0.1, 0, 0, 0, 0, 0, 0], [0.1, 1.0, 0, 0, 0, 0, 0, 0]
+    rows = [(1, a, 1), (1, b, 1), (2, near_a, 1), (3, near_b, 1), (4, a, 2), (4, b, 3), (5, near_a, 2)]
+    got = sorted(tuple(r) for r in I.near_vectors(spark, frame(spark, rows)).collect())
+    assert got == sorted((i, n, c, i == c) for i, n, c in brute_links(rows)) and [g[1] for g in got] == [1, 1, 1, 1, 0, 1, 1]
+
+
+def test_lengths_are_compared_apart(spark):
+    rows = [(i, [1.0, 2.0, 0.01 * i], 1) for i in range(25)] + [(40 + i, [1.0, 2.0, 0.0, 0.01 * i], 1) for i in range(3)]
+    links = {r.vec_id: (r.n_links, r.component_id) for r in I.near_vectors(spark, frame(spark, rows)).collect()}
+    assert links[0] == (24, 0) and links[41] == (2, 40)
+    got = C.nearest(spark, frame(spark, rows), F.col("vec_id") % 20 == 0).collect()
+    assert {r.vec_id for r in got if r.query_id == 40} == {41, 42} and len([r for r in got if r.query_id == 20]) == 20
+
+
 def test_near_vectors_odd_tables(spark):
     assert I.near_vectors(spark, frame(spark, [])).count() == 0
     got = I.near_vectors(spark, frame(spark, odd_rows() + odd_rows())).collect()
@@ -145,10 +161,37 @@ def test_recall_with_unequal_norms(spark, norms):
 
 def test_queries_left_with_few_candidates_are_swept(spark):
     rows = clustered(500, 2)
-    got = C.nearest(spark, frame(spark, rows), F.col("vec_id") % 20 == 0, tables=1, probes=1).collect()
+    got = C.nearest(spark, frame(spark, rows), F.col("vec_id") % 20 == 0, tables=1, recall=0.0).collect()
     assert len(got) == 25 * 20
 
 
+@pytest.mark.parametrize("dim", [512, 768])
+def test_recall_in_many_dimensions(spark, dim):
+    x = np.random.default_rng(dim).normal(size=(1500, dim)).astype(np.float32)
+    rows = [(i, e.tolist(), 1) for i, e in enumerate(x)]
+    check_nearest(C.nearest(spark, frame(spark, rows), F.col("vec_id") % 20 == 0).collect(), exact_nearest(rows, 20, dim), 0.9)
+
+
+def test_buckets_of_several_axes(spark):
+    rows = clustered(3000, 5, 16)
+    got = C.nearest(spark, frame(spark, rows), F.col("vec_id") % 20 == 0, bucket_rows=40).collect()
+    check_nearest(got, exact_nearest(rows, 20, 16), 0.9)
+    x = np.random.default_rng(1).normal(size=(50, 16))
+    h = C.CrossPolytope(16, 2, 2)
+    d = h.directions(x)
+    depth = h.depths(d[:25], d[25:])
+    for t in range(2):
+        for i in range(25):
+            near = set(h.buckets(d[i : i + 1], t, int(depth[i, t]))[0].tolist())
+            assert h.buckets(d[25 + i : 26 + i], t)[0, 0] in near and h.buckets(d[25 + i : 26 + i], t)[0, 0] not in set(h.buckets(d[i : i + 1], t, int(depth[i, t]) - 1)[0].tolist() if depth[i, t] > 1 else [])
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(20, [1.0] * 8, 1), (20, [-1.0] * 8, 1), (3, [2.0] * 8, 1), (3, [2.0] * 8, 1), (4, [-3.0] * 8, 1)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in C.nearest(spark, frame(spark, rows), F.col("vec_id") % 20 == 0).collect())
+    assert got == sorted([(20, 1, 3, 16.0), (20, 2, 3, 16.0), (20, 3, 20, -8.0), (20, 4, 4, -24.0), (20, 1, 4, 24.0), (20, 2, 20, -8.0), (20, 3, 3, -16.0), (20, 4, 3, -16.0)])
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(C.hadamard(x), axis=1), np.linalg.norm(x, axis=1)) and np.allclose(C.hadamard(C.hadamard(x)), x)
