@@ -134,15 +134,17 @@ def _margin(frame: DataFrame) -> DataFrame:
     return frame.withColumn("margin", F.element_at(vector_to_array("rawPrediction"), 2))
 
 
-def fit_and_score(table: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, trees: int = 12, depth: int = 3, keep_margin: bool = False) -> DataFrame:
-    """(row, features, gbt_score) of ``table`` (row, features; written): boosted trees, calibrated on rows they weren't fitted on.
+def fit_and_score(table: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, trees: int = 12, depth: int = 3, keep_margin: bool = False, learn_from: DataFrame | None = None) -> DataFrame:
+    """(row, features, gbt_score) of ``table`` (row, features): boosted trees, calibrated on rows they weren't fitted on.
+
+    ``learn_from`` (``table`` itself if it's written) holds the features of the labelled rows at least.
 
     Trees learn from the labelled rows outside the held fold that the lexicon is learned from, the
     calibration from others, which neither has seen. If either part lacks a label, the score is the
     smoothed share of toxic rows. Rows of one margin are one weighted point of the calibration.
     """
     sample = labelled_sample(labels, "toxic", FOLDS, HELD, rows)
-    known = table.join(F.broadcast(sample), F.col("row.doc_id").cast("long") == F.col("fit_id")).dropDuplicates(["fit_id"])
+    known = (table if learn_from is None else learn_from).join(F.broadcast(sample), F.col("row.doc_id").cast("long") == F.col("fit_id")).dropDuplicates(["fit_id"])
     known = known.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"), part_of(F.col("fit_id"), "calibration").alias("calibrates")).repartition(8).cache()
     counts = {(r["calibrates"], r["label"]): r["n"] for r in known.groupBy("calibrates", "label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 4:
@@ -176,5 +178,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
     Null and empty texts and null doc_ids are judged like others, each row by itself; repeated rows
     stay or go together. An empty table gives an empty one.
     """
-    table = Workspace(spark, "toxicity").table(feature_table(docs, learn_lexicon(docs, labels), F.struct("*")), "features")
-    return fit_and_score(table, labels).where(F.col("gbt_score") < threshold).select("row.*")
+    lexicon, ids = learn_lexicon(docs, labels), labelled_sample(labels, "toxic", FOLDS, HELD, FIT_ROWS)
+    # Only the labelled rows' features are written; all texts are scored as they are read.
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.select("fit_id")), F.col("doc_id") == F.col("fit_id"), "left_semi")
+    known = Workspace(spark, "toxicity").table(feature_table(labelled, lexicon, F.struct("doc_id")), "labelled")
+    return fit_and_score(feature_table(docs, lexicon, F.struct("*")), labels, learn_from=known).where(F.col("gbt_score") < threshold).select("row.*")
