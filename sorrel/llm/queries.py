@@ -74,6 +74,12 @@ def op10_itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark, _read(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sorrel.llm.spelling import spelling_variants
+
+    return spelling_variants(spark, _read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
