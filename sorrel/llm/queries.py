@@ -86,6 +86,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark, _read(spark, sf_dir, "conversations"))
 
 
+def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sorrel.llm.context_tree import score_texts
+
+    return score_texts(spark, _read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
