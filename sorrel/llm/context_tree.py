@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,11 +98,41 @@ class Counts:
         return keys, counts
 
 
-GATHERED = "kind string, block long, held_out boolean, body binary, gram long, word binary, n long"
+GATHERED = "kind string, block long, chunk binary, gram long, word binary, n long"
+#: Bytes of texts in a chunk: a compressed Arrow stream of (doc_id, held_out, body), which is stored and sent as it is.
+CHUNK = 1 << 20
+
+
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes a job's shuffle files when its table is written, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def packed(batch) -> Iterator[tuple[bytes, int]]:
+    """The rows of an Arrow batch as compressed streams of about CHUNK bytes of texts, at least one row each, and how many of them aren't held out."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.binary_length(batch.column(2)).to_numpy())
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK, "right")))
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(batch.slice(at, end - at))
+        yield out.getvalue().to_pybytes(), batch.column(1).slice(at, end - at).to_pylist().count(False)
+        at = end
 
 
 def gather(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """One written table of three kinds of rows: texts in blocks, and each block's distinct grams and words.
+    """One written table of three kinds of rows: the texts of blocks in chunks, and each block's distinct grams and words.
 
     A block is what one task has read of the texts, up to BLOCK bytes. Its grams and words hold how often
     the block's training texts have them, 0 if only held-out texts do: so the rows are both what a model
@@ -109,31 +140,31 @@ def gather(docs: DataFrame, ws: Workspace) -> DataFrame:
     """
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         part, seq, taken = TaskContext.get().partitionId(), 0, 0
         grams, words = Counts(), Counter()
 
-        def rows(kind: str, id_type: pa.DataType, **given):
+        def rows(kind: str, **given):
             n = len(next(iter(given.values())))
-            cols = {"kind": pa.array([kind] * n), "block": pa.array(np.full(n, (part << 24) + seq)), "doc_id": pa.nulls(n, id_type), "held_out": pa.nulls(n, pa.bool_()), "body": pa.nulls(n, pa.binary()), "gram": pa.nulls(n, pa.int64()), "word": pa.nulls(n, pa.binary()), "n": pa.nulls(n, pa.int64())} | given
+            cols = {"kind": pa.array([kind] * n), "block": pa.array(np.full(n, (part << 24) + seq)), "chunk": pa.nulls(n, pa.binary()), "gram": pa.nulls(n, pa.int64()), "word": pa.nulls(n, pa.binary()), "n": pa.nulls(n, pa.int64())} | given
             return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-        def lists(id_type: pa.DataType) -> Iterator:
+        def lists() -> Iterator:
             keys, counts = grams.merge()
             for at in range(0, len(keys), 100_000):
-                yield rows("gram", id_type, gram=pa.array(keys[at : at + 100_000]), n=pa.array(counts[at : at + 100_000]))
+                yield rows("gram", gram=pa.array(keys[at : at + 100_000]), n=pa.array(counts[at : at + 100_000]))
             names, counts = list(words), list(words.values())
             for at in range(0, len(names), 50_000):
-                yield rows("word", id_type, word=pa.array(names[at : at + 50_000], pa.binary()), n=pa.array(counts[at : at + 50_000], pa.int64()))
+                yield rows("word", word=pa.array(names[at : at + 50_000], pa.binary()), n=pa.array(counts[at : at + 50_000], pa.int64()))
 
-        id_type = None
         for batch in batches:
-            ids, held, bodies = batch.columns
-            id_type = ids.type
-            yield rows("text", id_type, doc_id=ids, held_out=held, body=bodies)
+            _, held, bodies = batch.columns
+            for chunk, trained in packed(batch):
+                yield rows("text", chunk=pa.array([chunk], pa.binary()), n=pa.array([trained], pa.int64()))
             for out, group in ((False, []), (True, [])):
-                group += [b.as_py() for b in bodies.filter(held if out else pa.compute.invert(held))]
+                group += [b.as_py() for b in bodies.filter(held if out else pc.invert(held))]
                 for g, _ in pieces(group):
                     grams.add(g, not out)
                 for own in (w for t in group for w in words_of(t)):
@@ -143,16 +174,14 @@ def gather(docs: DataFrame, ws: Workspace) -> DataFrame:
                         words.update(own)
                 taken += sum(map(len, group))
             if taken >= BLOCK or len(words) >= BLOCK_WORDS or grams.size >= BLOCK_GRAMS:
-                yield from lists(id_type)
+                yield from lists()
                 seq, taken, grams = seq + 1, 0, Counts()
                 words.clear()
         if taken or grams.size:
-            yield from lists(id_type)
+            yield from lists()
 
     src = docs.select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
-    kinds = docs.sparkSession.createDataFrame([], GATHERED).schema
-    schema = type(kinds)([kinds["kind"], kinds["block"], docs.schema["doc_id"], *[kinds[c] for c in ("held_out", "body", "gram", "word", "n")]])
-    return ws.table(src.mapInArrow(run, schema), "gathered")
+    return ws.table(src.mapInArrow(run, GATHERED), "gathered")
 
 
 def log_gamma(z: Column) -> Column:
@@ -245,42 +274,48 @@ def _score(tokens: int, per_token: float, end: float) -> Callable:
                 part = {n: c.slice(a, b - a) for n, c in col.items()}
                 if blocks[a] != block:
                     block, grams, values, words, table = blocks[a], [], [], {}, None
-                kinds = part["part"].to_numpy()
-                i, j = np.searchsorted(kinds, [1, 2])
+                i, j = np.searchsorted(part["part"].to_numpy(), [1, 2])
                 if i:
-                    grams.append(part["gram"].slice(0, i).to_numpy())
+                    grams.append(part["number"].slice(0, i).to_numpy())
                     values.append(part["value"].slice(0, i).to_numpy())
                 if j > i:
-                    words.update(zip(part["word"].slice(i, j - i).to_pylist(), part["value"].slice(i, j - i).to_pylist()))
+                    words.update(zip(part["word"].slice(i, j - i).to_pylist(), np.log10(part["number"].slice(i, j - i).to_numpy() + 1).tolist()))
                 if j == b - a:
                     continue
                 if table is None:
                     keys, found = np.concatenate([np.zeros(0, np.int64), *grams]), np.concatenate([np.zeros(0), *values])
                     order = np.argsort(keys)
                     table, grams, values = (keys[order].astype(np.uint64), found[order]), [], []
-                texts = part["body"].slice(j).to_pylist()
-                score = np.zeros(len(texts))
-                for g, doc in pieces(texts):
-                    least = int(doc[0])  # a piece holds fewer than 2**16 texts
-                    key = g.astype(np.uint64) << np.uint64(16) | (doc - least).astype(np.uint64)
-                    key.sort()
-                    g, doc = key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype(np.int64)
-                    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-                    at = np.searchsorted(table[0], g[first])
-                    if at[-1] >= len(table[0]) or (table[0][at] != g[first]).any():
-                        raise ValueError("a block lacks a gram of its texts")
-                    score[least : least + int(doc.max()) + 1] += np.bincount(doc, np.repeat(table[1][at], np.diff(np.r_[first, len(g)])))
-                n, known, plain = [], [], []
-                for t in texts:
-                    logs = [np.fromiter(map(words.__getitem__, own), np.float64, len(own)) for own in words_of(t)]
-                    n.append(1 + sum(map(len, logs)))
-                    known.append(sum(int(np.count_nonzero(x)) for x in logs) + (end > 0))
-                    plain.append(math.fsum(float(x.sum()) for x in logs) + end - n[-1] * per_token)
-                m = len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].slice(j), part["held_out"].slice(j), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(m, tokens)), pa.array(plain, pa.float64()), pa.array(score), pa.array([len(t) for t in texts], pa.int64())],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
-                )
+                for chunk in part["chunk"].slice(j):
+                    with pa.ipc.open_stream(pa.py_buffer(chunk.as_py())) as stream:
+                        for texts in stream:
+                            yield scored(texts, table, words)
+
+    def scored(batch, table: tuple[np.ndarray, np.ndarray], words: dict[bytes, float]):
+        import pyarrow as pa
+
+        texts = batch.column(2).to_pylist()
+        score = np.zeros(len(texts))
+        for g, doc in pieces(texts):
+            least = int(doc[0])  # a piece holds fewer than 2**16 texts
+            key = g.astype(np.uint64) << np.uint64(16) | (doc - least).astype(np.uint64)
+            key.sort()
+            g, doc = key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            at = np.searchsorted(table[0], g[first])
+            if at[-1] >= len(table[0]) or (table[0][at] != g[first]).any():
+                raise ValueError("a block lacks a gram of its texts")
+            score[least : least + int(doc.max()) + 1] += np.bincount(doc, np.repeat(table[1][at], np.diff(np.r_[first, len(g)])))
+        n, known, plain = [], [], []
+        for t in texts:
+            logs = [np.fromiter(map(words.__getitem__, own), np.float64, len(own)) for own in words_of(t)]
+            n.append(1 + sum(map(len, logs)))
+            known.append(sum(int(np.count_nonzero(x)) for x in logs) + (end > 0))
+            plain.append(math.fsum(float(x.sum()) for x in logs) + end - n[-1] * per_token)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(texts), tokens)), pa.array(plain, pa.float64()), pa.array(score), pa.array(list(map(len, texts)), pa.int64())],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
+        )
 
     return run
 
@@ -298,26 +333,25 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     columns aren't read.
     """
     ws = Workspace(spark, "lm")
-    all_rows = gather(docs, ws)
-    lists = {k: all_rows.where(F.col("kind") == k) for k in ("text", "gram", "word")}
-
-    grams = ws.table(lists["gram"].groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    words = ws.table(lists["word"].groupBy("word").agg(F.sum("n").alias("n")), "words")
-    texts = lists["text"].agg(F.count(F.when(~F.col("held_out"), 1)).alias("trained")).first()["trained"]
-    seen = words.where("n > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    blocks = lists["text"].select("block").distinct().count()
-    tokens, kinds = seen["n"] + texts, seen["v"] + (texts > 0)
-
-    codes = code_lengths(grams, tree(grams, ws), ws)
-    gram_rows = lists["gram"].select("block", "gram").join(codes, "gram").select("block", F.lit(0).alias("part"), "gram", F.lit(None).cast("binary").alias("word"), F.col("lp").alias("value"))
-    word_rows = lists["word"].select("block", "word").join(words, "word").select("block", F.lit(1).alias("part"), F.lit(None).cast("long").alias("gram"), "word", F.log10(F.col("n") + 1).alias("value"))
-    text_rows = lists["text"].select("block", F.lit(2).alias("part"), "doc_id", "held_out", "body")
+    with released_shuffles(spark):
+        all_rows = gather(docs, ws)
+        lists = {k: all_rows.where(F.col("kind") == k) for k in ("text", "gram", "word")}
+        grams = ws.table(lists["gram"].groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+        words = ws.table(lists["word"].groupBy("word").agg(F.sum("n").alias("c")), "words")
+        texts = lists["text"].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_distinct("block").alias("blocks")).first()
+        seen = words.where("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+        tokens, kinds = seen["n"] + texts["n"], seen["v"] + (texts["n"] > 0)
+        codes = code_lengths(grams, tree(grams, ws), ws)
+
+    gram_rows = lists["gram"].select("block", "gram").join(codes, "gram").select("block", F.lit(0).alias("part"), F.col("gram").alias("number"), F.lit(None).cast("binary").alias("word"), F.col("lp").alias("value"))
+    word_rows = lists["word"].select("block", "word").join(words, "word").select("block", F.lit(1).alias("part"), F.col("c").alias("number"), "word", F.lit(None).cast("double").alias("value"))
+    text_rows = lists["text"].select("block", F.lit(2).alias("part"), "chunk")
     both = gram_rows.unionByName(word_rows).unionByName(text_rows, allowMissingColumns=True)
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts["blocks"] // 4))
     place = F.expr(f"CAST(pmod(shiftright(block, 24) + (block & {(1 << 24) - 1}) * 1000003, {n}) AS int)")  # blocks of tasks 0, 1, 2, ... take turns
-    rows = both.repartitionById(n, place).sortWithinPartitions("block", "part").select("block", "part", "gram", "word", "value", "doc_id", "held_out", "body")
+    rows = both.repartitionById(n, place).sortWithinPartitions("block", "part")
     out = type(docs.schema)([docs.schema["doc_id"]])
     for name, kind in (("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("n_bytes", "long")):
         out = out.add(name, kind)
-    return rows.mapInArrow(_score(tokens, math.log10(tokens + kinds + 1), math.log10(texts + 1)), out)
+    return rows.mapInArrow(_score(tokens, math.log10(tokens + kinds + 1), math.log10(texts["n"] + 1)), out)
