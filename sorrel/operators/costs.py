@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sorrel.functions.money import with_tax
-from sorrel.operators.joins import band_join
+from sorrel.operators.intervals import band_join
 
 
 @dataclass(frozen=True)

@@ -2,32 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
-
-
-#: Bands of a list that is folded into one expression, at most; more are an error.
-MOST_BANDS = 10_000
-
-
-def band_join(values: DataFrame, value: str, bands: DataFrame, low: str = "low", high: str = "high", cost: str = "cost", key: str = "band", also: tuple[str, ...] = ()) -> DataFrame:
-    """Each row with the narrowest band that holds its value (band, band_cost and the columns ``also``); ties to the cheaper, then the smaller key; none gives nulls.
-
-    ``bands`` is a price list, so it becomes one constant array that each row is looked up in, best
-    band first: no join and no shuffle. Over MOST_BANDS bands are an error.
-    """
-    chosen = bands.select(low, high, key, cost, *also)
-    rows = chosen.limit(MOST_BANDS + 1).collect()
-    if len(rows) > MOST_BANDS:
-        raise ValueError(f"over {MOST_BANDS} bands")
-    rows.sort(key=lambda r: (r[high] - r[low], r[cost], r[key]))
-    listed = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), ArrayType(chosen.schema))
-    best = F.get(F.filter(listed, lambda b: F.col(value).between(b[low], b[high])), F.lit(0))
-    found = values.withColumn("band_found", best)
-    return found.select(*values.columns, F.col(f"band_found.{key}").alias("band"), F.col(f"band_found.{cost}").alias("band_cost"), *[f"band_found.{c}" for c in also])
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], l_range: tuple[str, str], r_range: tuple[str, str]) -> DataFrame:

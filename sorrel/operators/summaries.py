@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sorrel.operators.medians import exact_medians
+
 
 def price_summary(price_cents: str, unit: str) -> list[Column]:
     """min, max, and the kind: none, mixed (several units), single or range."""
@@ -36,7 +38,7 @@ def disagreeing(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 
 def median_outliers(df: DataFrame, group: str, value: str, factor: float = 2.0) -> DataFrame:
     """Per group the exact median and how many values lie over ``factor`` times it or under its part."""
-    mid = df.groupBy(F.col(group).alias("mid_group")).agg(F.median(value).alias("median"))
+    mid = exact_medians(df, group, value).select(F.col(group).alias("mid_group"), "median")
     joined = df.join(mid, F.col(group) == F.col("mid_group"))
     return joined.groupBy(group).agg(F.first("median").alias("median"), F.count_if((F.col(value) > factor * F.col("median")) | (F.col(value) * factor < F.col("median"))).alias("outliers"), F.count("*").alias("rows"))
 

