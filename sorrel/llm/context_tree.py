@@ -256,6 +256,53 @@ def code_lengths(grams: DataFrame, heads: list[DataFrame], ws: Workspace) -> Dat
     return done
 
 
+def folded(data: bytes) -> bytes:
+    """``data`` compressed if that is worth it, behind a byte that tells."""
+    import zstandard
+
+    return b"\1" + zstandard.compress(data) if len(data) >= 512 else b"\0" + data
+
+
+def unfolded(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(data[1:]) if data[0] else data[1:]
+
+
+def listed(rows: DataFrame, part: int, held: int = 2_000_000) -> DataFrame:
+    """(block, part, chunk): what a task has of each block's list as one chunk, of (block, number, value) or (block, number, word).
+
+    A chunk is its numbers, then its values or its words with spaces between. Where a task has few rows of a
+    block, as in a corpus of very many blocks, a chunk costs no more than its rows.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def told(own: list) -> pa.RecordBatch:
+            table = pa.Table.from_batches(own)
+            blocks = table.column(0).to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(blocks[order]) != 0])
+            numbers, other = table.column(1).to_numpy()[order], table.column(2)
+            other = other.to_numpy()[order] if part == 0 else np.array(other.to_pylist(), object)[order]
+            chunks = [numbers[i:j].tobytes() + (other[i:j].tobytes() if part == 0 else b" ".join(other[i:j])) for i, j in zip(first, [*first[1:], len(order)])]
+            heads = [len(numbers[i:j]).to_bytes(4, "little") for i, j in zip(first, [*first[1:], len(order)])]
+            return pa.RecordBatch.from_arrays([pa.array(blocks[order][first]), pa.array([part] * len(first), pa.int32()), pa.array([folded(h + c) for h, c in zip(heads, chunks)], pa.binary())], ["block", "part", "chunk"])
+
+        own, n = [], 0
+        for batch in batches:
+            own.append(batch)
+            n += len(batch)
+            if n >= held:
+                yield told(own)
+                own, n = [], 0
+        if n:
+            yield told(own)
+
+    return rows.mapInArrow(run, "block long, part int, chunk binary")
+
+
 def _score(tokens: int, per_token: float, end: float) -> Callable:
     """Scores the texts of blocks that come as their lists first, then their texts.
 
@@ -267,29 +314,26 @@ def _score(tokens: int, per_token: float, end: float) -> Callable:
 
         block, grams, values, words, table = None, [], [], {}, None
         for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            blocks = col["block"].to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for a, b in zip(cuts, cuts[1:]):
-                part = {n: c.slice(a, b - a) for n, c in col.items()}
-                if blocks[a] != block:
-                    block, grams, values, words, table = blocks[a], [], [], {}, None
-                i, j = np.searchsorted(part["part"].to_numpy(), [1, 2])
-                if i:
-                    grams.append(part["number"].slice(0, i).to_numpy())
-                    values.append(part["value"].slice(0, i).to_numpy())
-                if j > i:
-                    words.update(zip(part["word"].slice(i, j - i).to_pylist(), np.log10(part["number"].slice(i, j - i).to_numpy() + 1).tolist()))
-                if j == b - a:
-                    continue
-                if table is None:
-                    keys, found = np.concatenate([np.zeros(0, np.int64), *grams]), np.concatenate([np.zeros(0), *values])
-                    order = np.argsort(keys)
-                    table, grams, values = (keys[order].astype(np.uint64), found[order]), [], []
-                for chunk in part["chunk"].slice(j):
+            for now, part, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if now != block:
+                    block, grams, values, words, table = now, [], [], {}, None
+                if part == 2:
+                    if table is None:
+                        keys, found = np.concatenate([np.zeros(0, np.int64), *grams]), np.concatenate([np.zeros(0), *values])
+                        order = np.argsort(keys)
+                        table, grams, values = (keys[order].astype(np.uint64), found[order]), [], []
                     with pa.ipc.open_stream(pa.py_buffer(chunk.as_py())) as stream:
                         for texts in stream:
                             yield scored(texts, table, words)
+                    continue
+                data = unfolded(chunk.as_py())
+                n = int.from_bytes(data[:4], "little")
+                numbers = np.frombuffer(data, np.int64, n, 4)
+                if part == 0:
+                    grams.append(numbers)
+                    values.append(np.frombuffer(data, np.float64, n, 4 + 8 * n))
+                else:
+                    words.update(zip(data[4 + 8 * n :].split(b" "), np.log10(numbers + 1).tolist()))
 
     def scored(batch, table: tuple[np.ndarray, np.ndarray], words: dict[bytes, float]):
         import pyarrow as pa
@@ -343,10 +387,9 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
         tokens, kinds = seen["n"] + texts["n"], seen["v"] + (texts["n"] > 0)
         codes = code_lengths(grams, tree(grams, ws), ws)
 
-    gram_rows = lists["gram"].select("block", "gram").join(codes, "gram").select("block", F.lit(0).alias("part"), F.col("gram").alias("number"), F.lit(None).cast("binary").alias("word"), F.col("lp").alias("value"))
-    word_rows = lists["word"].select("block", "word").join(words, "word").select("block", F.lit(1).alias("part"), F.col("c").alias("number"), "word", F.lit(None).cast("double").alias("value"))
-    text_rows = lists["text"].select("block", F.lit(2).alias("part"), "chunk")
-    both = gram_rows.unionByName(word_rows).unionByName(text_rows, allowMissingColumns=True)
+    gram_rows = listed(lists["gram"].select("block", "gram").join(codes, "gram").select("block", "gram", "lp"), 0)
+    word_rows = listed(lists["word"].select("block", "word").join(words, "word").select("block", "c", "word"), 1)
+    both = gram_rows.unionByName(word_rows).unionByName(lists["text"].select("block", F.lit(2).alias("part"), "chunk"))
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts["blocks"] // 4))
     place = F.expr(f"CAST(pmod(shiftright(block, 24) + (block & {(1 << 24) - 1}) * 1000003, {n}) AS int)")  # blocks of tasks 0, 1, 2, ... take turns
