@@ -386,9 +386,11 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
         seen = words.where("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
         tokens, kinds = seen["n"] + texts["n"], seen["v"] + (texts["n"] > 0)
         codes = code_lengths(grams, tree(grams, ws), ws)
-
-    gram_rows = listed(lists["gram"].select("block", "gram").join(codes, "gram").select("block", "gram", "lp"), 0)
-    word_rows = listed(lists["word"].select("block", "word").join(words, "word").select("block", "c", "word"), 1)
+        # Written one after the other, so that the shuffles of one are gone when the next begins.
+        word_rows = ws.table(listed(lists["word"].select("block", "word").join(words, "word").select("block", "c", "word"), 1), "word-lists")
+        gram_rows = ws.table(listed(lists["gram"].select("block", "gram").join(codes, "gram").select("block", "gram", "lp"), 0), "gram-lists")
+        for name in ("grams", "words", *(f"{what}-{d}" for what in ("head", "codes") for d in range(DEPTH + 1))):
+            ws.drop(name)
     both = gram_rows.unionByName(word_rows).unionByName(lists["text"].select("block", F.lit(2).alias("part"), "chunk"))
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts["blocks"] // 4))
