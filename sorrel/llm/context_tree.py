@@ -21,8 +21,8 @@ DEPTH = 5
 FOLDS, HELD_OUT = 7, 2
 #: UTF-8 never has this byte: it ends a text, and stands before its beginning as context.
 END = b"\xff"
-#: Bytes of texts in a block; distinct words and grams that end one sooner; bytes worked on at once.
-BLOCK, BLOCK_WORDS, BLOCK_GRAMS, PIECE = 48 << 20, 400_000, 3_000_000, 4 << 20
+#: Bytes of texts in a block; distinct words and grams that end one sooner; bytes worked on at once, and grams in pieces that are merged.
+BLOCK, BLOCK_WORDS, BLOCK_GRAMS, PIECE, MERGED = 48 << 20, 400_000, 3_000_000, 1 << 20, 1_000_000
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -77,7 +77,7 @@ class Counts:
     """Counts of grams: sorted pieces, merged when they are many."""
 
     def __init__(self):
-        self.keys, self.counts, self.size = [], [], 0
+        self.keys, self.counts, self.size, self.merged = [], [], 0, 0
 
     def add(self, grams: np.ndarray, counted: bool) -> None:
         grams.sort()
@@ -85,7 +85,7 @@ class Counts:
         self.keys.append(grams[first])
         self.counts.append(np.diff(np.r_[first, len(grams)]) * counted)
         self.size += len(first)
-        if self.size > 2 * BLOCK_GRAMS:
+        if self.size > self.merged + MERGED:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ class Counts:
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
-        self.keys, self.counts, self.size = [keys], [counts], len(keys)
+        self.keys, self.counts, self.size, self.merged = [keys], [counts], len(keys), len(keys)
         return keys, counts
 
 
@@ -269,7 +269,7 @@ def unfolded(data: bytes) -> bytes:
     return zstandard.decompress(data[1:]) if data[0] else data[1:]
 
 
-def listed(rows: DataFrame, part: int, held: int = 2_000_000) -> DataFrame:
+def listed(rows: DataFrame, part: int, held: int = 400_000) -> DataFrame:
     """(block, part, chunk): what a task has of each block's list as one chunk, of (block, number, value) or (block, number, word).
 
     A chunk is its numbers, then its values or its words with spaces between. Where a task has few rows of a

@@ -133,7 +133,7 @@ def test_small_pieces_are_the_same_grams(monkeypatch):
     monkeypatch.setattr(C, "PIECE", 9)
     assert [w for own in C.words_of(b"Some words\x0bAND  " + b"x" * 50 + b" more") for w in own] == [b"some", b"words", b"and", b"x" * 50, b"more"]
     counts = C.Counts()
-    monkeypatch.setattr(C, "BLOCK_GRAMS", 3)
+    monkeypatch.setattr(C, "MERGED", 3)
     for gs, ds in C.pieces([b"abcabc", b"abc"], 4):
         counts.add(gs, True)
     keys, n = counts.merge()
