@@ -30,9 +30,14 @@ def assessment_date(rule: Column, assessed_at: Column, start: Column) -> Column:
     return F.when(rule == "as_of_date", assessed_at).when(rule == "as_of_session_start", start)
 
 
-def age_on(born: Column, day: Column) -> Column:
-    """Whole years on a day."""
-    return F.floor(F.months_between(day, born) / 12).cast("int")
+def stated_age_fits(age: Column, as_of: Column, assessed: Column, low: Column, high: Column, low_inclusive: Column | None = None, high_inclusive: Column | None = None) -> Column:
+    """yes, no or unknown of an age in whole years that was stated for the day ``as_of``.
+
+    It counts only if that is the day on which the session assesses ages: an age is never carried to another
+    day, as that would need a birthday that nobody has stated.
+    """
+    same = (age == F.floor(age)) & (age >= 0) & (as_of == assessed)
+    return F.when(F.coalesce(same, F.lit(False)), age_fits(age, low, high, low_inclusive, high_inclusive)).otherwise("unknown")
 
 
 def band_label(low: Column, high: Column, low_inclusive: Column, high_inclusive: Column) -> Column:

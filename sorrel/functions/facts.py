@@ -17,15 +17,19 @@ def text_or_null(value: Column) -> Column:
 
 
 def number(value: Column) -> Column:
-    """A finite double of a number or a number's text, else null."""
-    d = F.trim(value.cast("string")).try_cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
+    """A finite double of a number or of a text that is one: decimal, with an exponent, or 0x, 0o and 0b; else null."""
+    t = F.trim(value.cast("string"))
+    decimal = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+    digits = F.substring(t, F.lit(3), F.char_length(t))
+    other = [F.when(t.rlike(f"^0[{k}{k.upper()}][{d}]+$"), F.conv(digits, n, 10).cast("double")) for k, d, n in (("x", "0-9a-fA-F", 16), ("o", "0-7", 8), ("b", "01", 2))]
+    d = F.coalesce(decimal, *other)
+    return F.when(F.abs(d) < float("inf"), d)
 
 
 def whole(value: Column) -> Column:
     """A whole number, else null."""
     d = number(value)
-    return F.when(d == F.floor(d), d.cast("long"))
+    return F.when(d == F.floor(d), d.try_cast("long"))
 
 
 def iso_day(value: Column) -> Column:
@@ -131,15 +135,17 @@ def facts_unchanged(previous: Column, following: Column) -> Column:
     return compare_fingerprints(previous, following) == "unchanged"
 
 
-def values_equal(old: Column, new: Column, numeric: bool = False) -> Column:
-    """Whether a proposed value states what the catalog has: texts by their words, numbers by value; blank is null, and null equals null only."""
-    def plain(c: Column) -> Column:
-        return number(c) if numeric else F.lower(F.trim(F.regexp_replace(c.cast("string"), r"\s+", " ")))
+def values_equal(old: Column, new: Column) -> Column:
+    """Whether a proposed value is the catalog's: equal values of one type, nulls equal. A changed spelling is a change, and blank isn't null."""
+    return old.eqNullSafe(new)
+
 
-    def stated(c: Column) -> Column:
-        return F.when(F.trim(c.cast("string")) != "", plain(c))
+def same_words(old: Column, new: Column) -> Column:
+    """Whether two texts say the same but for case and white space; blank is null, and null says the same as null only."""
+    def plain(c: Column) -> Column:
+        return F.nullif(F.lower(F.trim(F.regexp_replace(c.cast("string"), r"\s+", " "))), F.lit(""))
 
-    return stated(old).eqNullSafe(stated(new))
+    return plain(old).eqNullSafe(plain(new))
 
 
 def entry_id(kind: Column, program: Column, item: Column) -> Column:

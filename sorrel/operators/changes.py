@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.functions.text import match_key
+from sorrel.operators.names import plain_name
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str], complete: bool = True) -> DataFrame:
@@ -62,9 +62,9 @@ def match_entities(records: DataFrame, catalog: DataFrame, record_id: str, entit
 
 
 def names_match(a: Column, b: Column) -> Column:
-    """Equal keys, or one begins the other at a word and has four characters or more."""
-    x, y = match_key(a), match_key(b)
-    return (x == y) | ((F.length(x) >= 4) & y.startswith(F.concat(x, F.lit(" ")))) | ((F.length(y) >= 4) & x.startswith(F.concat(y, F.lit(" "))))
+    """Equal plain names, or one of four letters or more that begins the other at a word's end; empty names match nothing."""
+    x, y = plain_name(a), plain_name(b)
+    return (x != "") & (y != "") & ((x == y) | ((F.length(x) >= 4) & y.startswith(F.concat(x, F.lit(" ")))) | ((F.length(y) >= 4) & x.startswith(F.concat(y, F.lit(" ")))))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, policies: dict[str, str]) -> DataFrame:

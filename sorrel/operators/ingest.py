@@ -12,30 +12,39 @@ from sorrel.operators.review import extraction_decision
 FETCHABLE = ("static_html", "feed", "pdf")
 
 
-def process_sources(sources: DataFrame, snapshots: DataFrame, records: DataFrame, source: str, now: Column, fetchable: tuple[str, ...] = FETCHABLE) -> DataFrame:
-    """(source, outcome, reason, changed, successful, error, next_check_at) for each due source.
+def process_sources(sources: DataFrame, snapshots: DataFrame, records: DataFrame, source: str, now: Column, fetchable: tuple[str, ...] = FETCHABLE, force: bool = False) -> DataFrame:
+    """(source, outcome, reason, changed, successful, candidates, error, next_check_at) for each due source.
 
     ``sources``: strategy, hours, last_hash, last_print. ``snapshots``: one row a source: status,
     content_hash, has_content. ``records``: one row a source that was extracted: fact_print and
     n_records. A source whose strategy can't be fetched, or that has no snapshot, is marked as failed
-    and keeps its place in time. Equal facts under a changed page are unchanged; a first reading is
-    the baseline. All is joined by source, so a cycle of any size is two shuffles.
+    and keeps its place in time. An extraction without records has failed, on a page that has changed:
+    it is tried again. A fingerprint of another version over an unchanged page is only renewed; equal
+    facts under a changed page are unchanged; both make no candidates. Else there are candidates: of a
+    first reading, of changed facts, or of another version over a changed page. With ``force`` neither
+    short cut is taken. All is joined by source, so a cycle of any size is two shuffles.
     """
     s = sources.join(snapshots.select(F.col(source).alias("shot_source"), "status", "content_hash", "has_content"), F.col(source) == F.col("shot_source"), "left")
     s = s.join(records.select(F.col(source).alias("fact_source"), "fact_print", "n_records"), F.col(source) == F.col("fact_source"), "left")
     ready = F.col("strategy").isin(*fetchable)
-    decision = extraction_decision(F.col("status"), F.col("has_content"), F.col("last_hash"), F.col("content_hash"), F.col("last_print"), "camp-facts-v2")
+    decision = extraction_decision(F.col("status"), F.col("has_content"), F.col("last_hash"), F.col("content_hash"), F.col("last_print"), "camp-facts-v2", F.lit(force))
     s = s.withColumn("decision", F.when(ready & F.col("status").isNotNull(), decision)).withColumn("compared", compare_fingerprints(F.col("last_print"), F.col("fact_print")))
     extract = F.coalesce(F.col("decision.extract"), F.lit(False))
-    empty = F.coalesce(F.col("n_records"), F.lit(0)) == 0
-    outcome = (
-        F.when(~ready, "UNSUPPORTED").when(F.col("status").isNull(), "FAILED").when(~extract, F.col("decision.outcome")).when(empty, "FAILED")
-        .when(F.col("compared") == "unchanged", "UNCHANGED_FACTS").when(F.col("compared") == "changed", "CHANGED_FACTS").otherwise("BASELINE")
+    failed = extract & (F.coalesce(F.col("n_records"), F.lit(0)) == 0)
+    same_page = F.coalesce(F.col("last_hash") == F.col("content_hash"), F.lit(False))
+    outcome = F.when(~ready, "UNSUPPORTED").when(F.col("status").isNull(), "FAILED").when(~extract, F.col("decision.outcome")).when(failed, "EXTRACTION_FAILED")
+    if not force:
+        outcome = outcome.when((F.col("compared") == "version_mismatch") & same_page, "REBASELINED").when(F.col("compared") == "unchanged", "UNCHANGED_FACTS")
+    outcome = outcome.when(F.col("compared") == "baseline", "BASELINE").when(F.col("compared") == "version_mismatch", "CHANGED_VERSION").when(F.col("compared") == "unchanged", "FORCED").otherwise("CHANGED_FACTS")
+    error = (
+        F.when(~ready, F.concat(F.lit("crawl_strategy_not_fetchable:"), F.col("strategy"))).when(F.col("status").isNull(), "not_fetched")
+        .when(failed, "extraction_failed").when(outcome == "FAILED", F.col("decision.reason"))
     )
-    error = F.when(~ready, F.concat(F.lit("crawl_strategy_not_fetchable:"), F.col("strategy"))).when(F.col("status").isNull(), "not_fetched").when(outcome == "FAILED", F.coalesce(F.when(extract & empty, "no_records"), F.col("decision.reason")))
-    good = outcome.isin("UNCHANGED_SOURCE", "UNCHANGED_FACTS", "CHANGED_FACTS", "BASELINE")
+    new = outcome.isin("BASELINE", "CHANGED_FACTS", "CHANGED_VERSION", "FORCED")
+    good = new | outcome.isin("UNCHANGED_SOURCE", "UNCHANGED_FACTS", "REBASELINED")
     return s.select(
-        source, outcome.alias("outcome"), F.col("decision.reason").alias("reason"), outcome.isin("CHANGED_FACTS", "BASELINE").alias("changed"), good.alias("successful"), error.alias("error"), next_check(now, F.col("hours")).alias("next_check_at"),
+        source, outcome.alias("outcome"), F.col("decision.reason").alias("reason"), (new | (outcome == "EXTRACTION_FAILED")).alias("changed"), good.alias("successful"), new.alias("candidates"),
+        error.alias("error"), next_check(now, F.col("hours")).alias("next_check_at"),
     )
 
 

@@ -71,11 +71,15 @@ def cost_options(prices: DataFrame, venue: str, section: str, audience: str, req
     return g.where("child > 0")
 
 
-def everyday_child_price(prices: DataFrame, venue: str, label: str, amount: str, low: str, high: str, order: str) -> DataFrame:
-    """(venue, label, least, most): the prices of the label whose ticket spans most ages; ties to the first. ``prices`` are a child's paid admission prices, none for siblings."""
+def everyday_child_price(prices: DataFrame, venue: str, label: str, amount: str, low: str, high: str, order: str, audience: str = "audience", free: str = "free", sibling: str = "sibling") -> DataFrame:
+    """(venue, label, least, most): of a child's paid admission prices that aren't for siblings those of the label whose ticket spans most ages; ties to the first.
+
+    A price that doesn't say whether it is free or for siblings is neither. A venue without such a price has no row.
+    """
+    paid = prices.where((F.col(audience) == "child") & ~F.coalesce(F.col(free), F.lit(False)) & ~F.coalesce(F.col(sibling), F.lit(False)))
     width = F.coalesce(F.col(high), F.lit(17)) - F.coalesce(F.col(low), F.lit(0))
-    widest = prices.groupBy(F.col(venue).alias("of_venue")).agg(F.max(F.struct(width.alias("w"), (-F.col(order)).alias("o"), F.col(label).alias("l"))).alias("best"))
-    same = prices.join(widest, (F.col(venue) == F.col("of_venue")) & (F.col(label) == F.col("best.l")))
+    widest = paid.groupBy(F.col(venue).alias("of_venue")).agg(F.max(F.struct(width.alias("w"), (-F.col(order)).alias("o"), F.col(label).alias("l"))).alias("best"))
+    same = paid.join(widest, (F.col(venue) == F.col("of_venue")) & (F.col(label) == F.col("best.l")))
     return same.groupBy(venue, label).agg(F.min(amount).alias("least"), F.max(amount).alias("most"))
 
 

@@ -81,26 +81,6 @@ def browse_locations(spark, d):
 _GRID = "43.0 + (s_suppkey % 17) * 0.1 AS lat, -80.5 + (s_suppkey % 23) * 0.1 AS lng"
 
 
-@_query(f"""WITH v AS (SELECT s_suppkey, s_name, {_GRID} FROM supplier), m AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), u AS (SELECT * FROM v WHERE lat BETWEEN 43.0 AND 44.5 AND lng BETWEEN -80.5 AND -78.5),
-on_ AS (SELECT * FROM m JOIN u ON l_suppkey = s_suppkey)
-SELECT 'pin' AS what, CAST(s_suppkey AS BIGINT) AS id, count(*) AS camps FROM on_ GROUP BY s_suppkey UNION ALL SELECT 'unmapped', l_partkey, 0 FROM (SELECT DISTINCT l_partkey FROM m WHERE l_partkey NOT IN (SELECT l_partkey FROM on_))""")
-def map_pins(spark, d):
-    """A pin a venue within the map's box, and programs that no pin shows."""
-    k = F.col("s_suppkey")
-    v = table(spark, d, "supplier").select("s_suppkey", "s_name", (F.lit(43.0) + (k % 17) * F.lit(0.1)).alias("lat"), (F.lit(-80.5) + (k % 23) * F.lit(0.1)).alias("lng"))
-    pins, rest = locations.map_pins(table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("s_suppkey")), v, "s_suppkey", "l_partkey", "lat", "lng", "s_name")
-    return pins.select(F.lit("pin").alias("what"), F.col("s_suppkey").alias("id"), "camps").unionByName(rest.select(F.lit("unmapped").alias("what"), F.col("l_partkey").alias("id"), F.lit(0).cast("long").alias("camps")))
-
-
-@_query(f"""WITH v AS (SELECT s_suppkey, {_GRID} FROM supplier), x AS (SELECT s_suppkey, 6371.0088 * sqrt(pow(radians(lng + 79.4) * cos(radians((lat + 43.65) / 2)), 2) + pow(radians(lat - 43.65), 2)) AS km FROM v)
-SELECT s_suppkey, round(km, 6) AS km FROM x WHERE km <= 40""")
-def near_places(spark, d):
-    """Places within 40 km of a point, by equirectangular distance."""
-    k = F.col("s_suppkey")
-    v = table(spark, d, "supplier").select("s_suppkey", (F.lit(43.0) + (k % 17) * F.lit(0.1)).alias("lat"), (F.lit(-80.5) + (k % 23) * F.lit(0.1)).alias("lng"))
-    return locations.nearest_first(v, "lat", "lng", "s_suppkey", (43.65, -79.4), 40).select("s_suppkey", F.round("km", 6).alias("km"))
-
-
 _CARD = """CAST(l_shipdate AS DATE) AS s, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_shipdate AS DATE) + l_linenumber END AS e, CASE WHEN l_quantity > 4 THEN CASE WHEN l_linestatus = 'O' THEN '09:00' ELSE '08:30' END END AS opens, '16:00' AS closes,
  CASE WHEN l_suppkey % 5 <> 0 THEN 'V' || l_suppkey % 3 || ' · ' || l_returnflag END AS venue, CASE WHEN l_tax < 0.05 THEN CAST(l_shipdate AS DATE) - 3 END AS checked, CASE l_returnflag WHEN 'A' THEN TRUE WHEN 'R' THEN FALSE END AS confirmed,
  concat_ws(' · ', CASE WHEN l_returnflag = 'N' THEN 'before care 07:30–09:00' END, CASE l_linestatus WHEN 'O' THEN 'after care (times to confirm) · advance request; additional fee' ELSE 'after care to confirm' END) AS note"""
@@ -139,16 +119,6 @@ def card_ages(spark, d):
     return cards.ages_summary(s, "p_brand", "p_partkey", "lo", "hi", "li", "hi_in")
 
 
-@_query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CAST(o_orderdate AS DATE) + 30 END AS assessed,
- CASE WHEN o_orderkey % 3 = 2 THEN 'unknown' WHEN date_sub('year', DATE '1988-05-17', CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) + 30 END) BETWEEN 5 AND 8 THEN 'yes' ELSE 'no' END AS fit FROM orders""")
-def assessed_ages(spark, d):
-    """A child's age on the day that a session counts, against its band."""
-    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
-    rule = F.when(k % 3 == 0, "as_of_date").when(k % 3 == 1, "as_of_session_start").otherwise("unknown")
-    at = ages.assessment_date(rule, day, F.date_add(day, 30))
-    return table(spark, d, "orders").select("o_orderkey", at.alias("assessed"), ages.age_fits(ages.age_on(F.lit("1988-05-17").cast("date"), at), F.lit(5), F.lit(8)).alias("fit"))
-
-
 @_query(f"""WITH e AS (SELECT o_orderkey AS rec, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 7 END AS prog, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS i1, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 40 ELSE o_custkey % 40 + 100 END AS i2, o_custkey % 40 AS r1 FROM orders),
 c AS (SELECT c_custkey AS id, c_custkey % 7 AS prog, CASE c_custkey % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END AS i1, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 40 END AS i2, CASE WHEN c_custkey <= 60 THEN c_custkey % 40 ELSE c_custkey + 1000 END AS r1 FROM customer),
 x AS (SELECT rec, count(id) AS n, min(id) AS id FROM e JOIN c ON e.i1 = c.i1 AND e.i2 = c.i2 AND (e.prog IS NULL OR e.prog = c.prog) GROUP BY rec), y AS (SELECT rec, count(id) AS n, arg_min(id, id) AS id, arg_min(struct_pack(a := c.i1, b := c.i2), id) AS one FROM e JOIN c ON e.r1 = c.r1 AND (e.prog IS NULL OR e.prog = c.prog) GROUP BY rec),
@@ -221,38 +191,3 @@ def price_sections(spark, d):
 def cost_options(spark, d):
     """What a family's estimate can use of a venue's prices."""
     return venue_facts.cost_options(_prices(spark, d).where("verified"), "v", "kind", "who", "req", "basis")
-
-
-@_query("""WITH p AS (SELECT p_brand AS v, p_type AS label, p_retailprice AS amount, CASE WHEN p_size % 4 <> 0 THEN p_size % 6 END AS lo, CASE WHEN p_size % 3 <> 0 THEN p_size % 6 + p_size % 11 END AS hi, p_partkey FROM part),
-b AS (SELECT v, label FROM p QUALIFY row_number() OVER (PARTITION BY v ORDER BY coalesce(hi, 17) - coalesce(lo, 0) DESC, p_partkey) = 1)
-SELECT v, label, min(amount) AS least, max(amount) AS most FROM p JOIN b USING (v, label) GROUP BY ALL""")
-def everyday_prices(spark, d):
-    """The prices of the ticket that most ages can use."""
-    z = F.col("p_size")
-    p = table(spark, d, "part").select(F.col("p_brand").alias("v"), F.col("p_type").alias("label"), F.col("p_retailprice").alias("amount"), F.when(z % 4 != 0, z % 6).alias("lo"), F.when(z % 3 != 0, z % 6 + z % 11).alias("hi"), "p_partkey")
-    return venue_facts.everyday_child_price(p, "v", "label", "amount", "lo", "hi", "p_partkey")
-
-
-@_query("""SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN CASE WHEN c_custkey % 4 <> 0 THEN 'all_ages_with_limit' END WHEN c_custkey % 5 = 0 AND c_custkey % 4 = 0 THEN 'no_ages' WHEN c_custkey % 5 = 0 THEN 'no_minimum' WHEN c_custkey % 4 = 0 THEN 'no_maximum' WHEN c_custkey % 5 > c_custkey % 4 + 1 THEN 'crossed' END AS ages,
- CASE WHEN c_custkey % 3 = 0 THEN 'kind_unknown' WHEN c_custkey % 3 = 1 AND c_custkey % 7 = 0 THEN 'no_hours' END AS hours, CASE WHEN c_nationkey < 3 AND c_custkey % 2 = 0 THEN 'neither' WHEN c_nationkey < 3 THEN 'no_source' WHEN c_custkey % 2 = 0 THEN 'no_date' END AS source,
- CASE WHEN c_custkey % 3 = 1 THEN 'no' WHEN c_custkey % 2 = 0 THEN 'yes' ELSE 'unknown' END AS stroller FROM customer""")
-def readiness_gaps(spark, d):
-    """What a place's record lacks before it can be planned with."""
-    k = F.col("c_custkey")
-    return table(spark, d, "customer").select(
-        "c_custkey", venue_facts.ages_gap(k % 6 == 0, F.when(k % 5 != 0, k % 5), F.when(k % 4 != 0, k % 4 + 1)).alias("ages"),
-        venue_facts.hours_gap(F.when(k % 3 == 0, "unknown").when(k % 3 == 1, "fixed").otherwise("seasonal"), k % 7).alias("hours"),
-        venue_facts.verification_gap(F.when(F.col("c_nationkey") >= 3, "https://x").otherwise(" "), F.when(k % 2 == 0, "1998-02-30").otherwise("1998-02-28")).alias("source"),
-        venue_facts.stroller_friendly(F.when(k % 3 == 1, "no").otherwise("unknown"), F.when(k % 2 == 0, "yes")).alias("stroller"),
-    )
-
-
-@_query("""SELECT event_id, TRY_CAST(CASE WHEN user_id % 4 = 0 THEN ' ' || event_id || '.0 ' WHEN user_id % 4 = 1 THEN event_id || '.5' WHEN user_id % 4 = 2 THEN 'x' END AS DOUBLE) AS number, CASE WHEN user_id % 4 = 0 THEN event_id END AS whole,
- CASE WHEN event_type <> 'view' THEN strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_type <> 'view' THEN strftime(ts, '%H:%M') END AS clock, CASE WHEN user_id % 3 = 0 THEN NULL WHEN event_type = 'click' THEN NULL WHEN user_id % 4 = 1 OR user_id % 4 = 2 THEN NULL ELSE 'full' END AS state FROM events""")
-def coerced_values(spark, d):
-    """Loose values of a row as typed facts; what can't be understood is null."""
-    u, kind, e = F.col("user_id") % 4, F.col("event_type"), F.col("event_id").cast("string")
-    loose = F.when(u == 0, F.concat(F.lit(" "), e, F.lit(".0 "))).when(u == 1, F.concat(e, F.lit(".5"))).when(u == 2, "x")
-    day = F.when(kind != "view", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon")
-    spot = facts.spot_check(F.when(F.col("user_id") % 3 != 0, F.when(kind == "click", "odd").otherwise("full")), loose, F.lit("1998-01-01"))
-    return table(spark, d, "events").select("event_id", facts.number(loose).alias("number"), facts.whole(loose).alias("whole"), facts.iso_day(day).alias("day"), facts.clock(F.when(kind != "view", F.date_format("ts", "HH:mm:ss"))).alias("clock"), spot["state"].alias("state"))

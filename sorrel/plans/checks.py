@@ -49,15 +49,6 @@ def hours_windows(spark, d):
     return table(spark, d, "orders").select("o_orderkey", opens.alias("opens"), dates.clock_overlaps(opens, closes, c % 2 == 0, 930, 1050).alias("after_school"), F.coalesce((opens <= 540) & (closes >= 960), F.lit(False)).alias("core"))
 
 
-@_query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN o_custkey % 3 = 0 ELSE FALSE END AS single FROM orders""")
-def single_days(spark, d):
-    """Sessions of one day: by their format, or by equal dates unless the format isn't known."""
-    k, day = F.col("o_orderkey") % 4, F.to_date("o_orderdate")
-    end = F.date_add(day, (F.col("o_custkey") % 3).cast("int"))
-    kind = F.when(k == 0, "single_day").when(k == 1, "weekly").when(k == 2, "unknown")
-    return table(spark, d, "orders").select("o_orderkey", dates.is_single_day(day, F.when(k != 0, end), kind).alias("single"))
-
-
 @_query("""WITH n AS (SELECT CAST(timezone('America/Toronto', timezone('UTC', max(ts))) AS DATE) AS today FROM events), s AS (SELECT DISTINCT user_id % 211 AS system FROM events, n WHERE CAST(timezone('America/Toronto', timezone('UTC', ts)) AS DATE) = today AND event_type IN ('error', 'click'))
 SELECT c_custkey, CAST(c_custkey % 211 AS BIGINT) AS booking_system FROM customer WHERE c_custkey % 211 NOT IN (SELECT system FROM s)""")
 def running_systems(spark, d):
@@ -92,24 +83,6 @@ def agreed_values(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(summaries.agreed("l_returnflag").alias("flag"), summaries.agreed("l_tax").alias("tax"))
 
 
-@_query("""SELECT p_partkey, p_size % 4 <> 3 AS alike FROM part""")
-def names_alike(spark, d):
-    """Names that say the same, or of which one goes on where the other ends."""
-    z, n = F.col("p_size") % 4, F.col("p_partkey").cast("string")
-    a = F.concat(F.lit("Camp Élan "), n)
-    b = F.when(z == 0, F.concat(F.lit("camp elan  "), n)).when(z == 1, F.concat(a, F.lit(" (new) Day Camp"))).when(z == 2, F.lit("CAMP ELAN")).otherwise(F.concat(F.lit("Camp Elane "), n))
-    return table(spark, d, "part").select("p_partkey", changes.names_match(a, b).alias("alike"))
-
-
-@_query("""SELECT c_custkey, c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 4 IN (0, 1) AS public, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 181 <= 90 THEN c_custkey % 181 END AS lat FROM customer""")
-def public_facts(spark, d):
-    """Facts that may be shown, and coordinates that may be used."""
-    k = F.col("c_custkey")
-    fact = views.public_fact(F.when(k % 3 != 0, "https://a").otherwise("http://a"), F.when(k % 5 != 0, "1998-02-28").otherwise("1998-02-30"), F.when(k % 4 == 0, "verified").when(k % 4 < 3, "conflicting").otherwise("draft"), F.when(k % 4 == 1, "why").otherwise(" "))
-    at = venues.usable_coordinates(F.when(k % 7 != 0, k % 181).cast("double"), F.lit(-79.0))
-    return table(spark, d, "customer").select("c_custkey", fact.alias("public"), at["lat"].cast("long").alias("lat"))
-
-
 @_query("""WITH x AS (SELECT event_id, date_trunc('second', ts) AS ts, event_type = 'view' AS weekly, event_type <> 'error' AS active FROM events), n AS (SELECT max(ts) AS now FROM x)
 SELECT event_id, active AND CASE WHEN weekly THEN epoch(now) - epoch(ts) >= 604800 ELSE CAST(timezone('America/Toronto', timezone('UTC', ts)) AS DATE) <> CAST(timezone('America/Toronto', timezone('UTC', now)) AS DATE) END AS due,
  hour(timezone('America/Toronto', timezone('UTC', ts))) = 7 AS digest FROM x, n""")

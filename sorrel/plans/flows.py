@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sorrel.functions.jsons import strict_json
 from sorrel.functions.sections import fold_lines, matched
 from sorrel.sources import variants
 from sorrel.sources.tables import table
@@ -89,7 +90,7 @@ def section_items(spark, d):
 SELECT event_type, count(*) AS events, CAST(count(TRY_CAST(k AS DOUBLE)) AS BIGINT) AS numbers, CAST(sum(TRY_CAST(k AS BIGINT)) AS BIGINT) AS total, CAST(count(DISTINCT TRY_CAST(k AS BIGINT)) AS BIGINT) AS kinds FROM p GROUP BY event_type""")
 def props_by_type(spark, d):
     """What the events' properties hold, read as VARIANT, which is kept through a shuffle by event type."""
-    e = table(spark, d, "events").select("event_type", variants.parsed(F.col("props")).alias("p")).repartition("event_type")
+    e = table(spark, d, "events").select("event_type", strict_json(F.col("props")).alias("p")).repartition("event_type")
     k = variants.number_at(F.col("p"), "$.k")
     return e.select("event_type", k.alias("k")).groupBy("event_type").agg(F.count("*").alias("events"), F.count("k").alias("numbers"), F.sum(F.col("k").cast("long")).alias("total"), F.count_distinct(F.col("k").cast("long")).alias("kinds"))
 
@@ -97,6 +98,6 @@ def props_by_type(spark, d):
 @_query("""SELECT user_id, arg_max(CAST(json_extract(props, '$.k') AS DOUBLE), event_id) AS k, json_type(arg_max(props, event_id), '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS is_number FROM events GROUP BY user_id""")
 def latest_props(spark, d):
     """Each user's last properties, whatever their shape, and one number in them."""
-    last = table(spark, d, "events").groupBy("user_id").agg(F.max_by(variants.parsed(F.col("props")), "event_id").alias("p"))
+    last = table(spark, d, "events").groupBy("user_id").agg(F.max_by(strict_json(F.col("props")), "event_id").alias("p"))
     k = variants.number_at(F.col("p"), "$.k")
     return last.select("user_id", k.alias("k"), k.isNotNull().alias("is_number"))

@@ -22,41 +22,6 @@ def _query(sql: str | None = None):
     return keep
 
 
-@_query("""SELECT c_custkey, CASE WHEN c_custkey % 4 <> 3 THEN c_custkey || ' Main St' END AS address_line, CASE WHEN c_custkey % 4 <> 3 THEN 'St. Catharines' END AS city, CASE c_custkey % 4 WHEN 0 THEN 'ON' WHEN 1 THEN 'ON' WHEN 2 THEN 'QC' END AS province,
- CASE WHEN c_custkey % 4 IN (0, 2) THEN 'L5B 1M' || c_custkey % 10 END AS postal_code, CASE WHEN c_custkey % 4 <> 3 THEN 1 END AS line FROM customer""")
-def page_addresses(spark, d):
-    """The first Canadian street address among a page's lines."""
-    k, s = F.col("c_custkey"), F.col("c_custkey").cast("string")
-    end = F.when(k % 4 == 0, F.concat(F.lit("Ontario, l5b 1m"), (k % 10).cast("string"))).when(k % 4 == 1, "ON").when(k % 4 == 2, F.concat(F.lit("QC  L5B  1M"), (k % 10).cast("string"))).otherwise("Texas")
-    end = F.when(k % 4 == 2, F.concat(F.lit("Quebec. l5b 1m"), (k % 10).cast("string"))).otherwise(end)
-    lines = F.array(F.lit("Ages 5 to 9"), F.concat(F.lit("At "), s, F.lit(" Main St, St. Catharines, "), end), F.lit("9 Other Rd, Guelph, Texas"))
-    found = pages.find_address(lines)
-    return table(spark, d, "customer").select("c_custkey", found["value"]["address_line"].alias("address_line"), found["value"]["city"].alias("city"), found["value"]["province"].alias("province"), found["value"]["postal_code"].alias("postal_code"), found["line"].alias("line"))
-
-
-@_query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'feed' WHEN p_size % 5 = 1 THEN '—' WHEN p_size % 5 = 2 THEN 'not checked' WHEN p_size % 3 = 0 THEN 'yes' ELSE 'no' END AS found FROM part""")
-def values_on_source(spark, d):
-    """Whether a stated price is on the page that is said to state it; dashes, spaces and dollar signs don't count."""
-    z = F.col("p_size")
-    adapter = F.when(z % 5 == 0, "feed").when(z % 5 == 1, "manual").otherwise("page")
-    body = F.concat(F.lit("Fees:  $"), z.cast("string"), F.lit(".50 -  $"), F.when(z % 3 == 0, z + 7).otherwise(z + 8).cast("string"), F.lit(".25&nbsp;a WEEK"))
-    value = F.concat(z.cast("string"), F.lit(".50 – $"), (z + 7).cast("string"), F.lit(".25 a week"))
-    return table(spark, d, "part").select("p_partkey", pages.found_on_source(adapter, value, body, z % 5 != 2).alias("found"))
-
-
-@_query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'https://app.amilia.com/x/' || s_suppkey WHEN 1 THEN 'https://camp.example/a/' || s_suppkey WHEN 2 THEN 'https://camp.example/signup/' || s_suppkey END AS link FROM supplier""")
-def registration_links(spark, d):
-    """The likeliest registration link of a page."""
-    k, s = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
-    other = F.struct(F.lit("mailto:register@camp.example").alias("href"), F.lit("Write us").alias("text"))
-    one = F.when(k % 4 == 0, F.struct(F.concat(F.lit("https://app.amilia.com/x/"), s).alias("href"), F.lit("Here").alias("text"))).when(k % 4 == 1, F.struct(F.concat(F.lit("https://camp.example/a/"), s).alias("href"), F.lit("Register today").alias("text"))).when(
-        k % 4 == 2, F.struct(F.concat(F.lit("https://camp.example/signup/"), s).alias("href"), F.lit("Go").alias("text"))
-    )
-    plain = F.struct(F.lit("https://camp.example/about").alias("href"), F.lit("About").alias("text"))
-    links = F.array(plain, F.coalesce(one, plain))
-    return table(spark, d, "supplier").select("s_suppkey", pages.registration_link(F.when(k % 4 == 2, links).otherwise(F.concat(F.array(other), links)), "amilia|active")["href"].alias("link")).select("s_suppkey", F.when(F.col("link").startswith("http"), F.col("link")).alias("link"))
-
-
 @_query("""WITH x AS (SELECT o_orderkey, o_orderkey % 9 AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
 SELECT o_orderkey, CASE WHEN d < DATE '1995-01-01' AND k IN (0, 1) THEN 'deadline_passed' WHEN k = 2 THEN 'closed' WHEN k = 3 OR d > DATE '1997-01-01' THEN 'not_yet_open' WHEN k = 4 THEN 'read' WHEN k IN (5, 6) THEN 'full' WHEN k = 7 THEN 'available' WHEN k = 8 THEN 'open' ELSE 'ask' END AS spots FROM x""")
 def spots_shown(spark, d):
@@ -69,36 +34,6 @@ def spots_shown(spark, d):
     return table(spark, d, "orders").select("o_orderkey", pages.spots_state(status, seat, day, deadline, today, F.when(k == 4, "3 spots left")).alias("spots"))
 
 
-@_query("""SELECT event_id, CASE WHEN event_type = 'signup' THEN 'ok' WHEN event_type = 'error' AND user_id % 6 IN (0, 1, 2) THEN 'blocked' WHEN event_type = 'error' AND user_id % 6 IN (3, 4) THEN 'unreachable' WHEN event_type = 'error' THEN 'error' WHEN event_type = 'click' THEN 'blocked' ELSE 'ok' END AS status,
- CASE WHEN event_type = 'signup' THEN sha256('Call or email') WHEN event_type IN ('view', 'purchase') THEN sha256('Week ' || user_id % 6) END AS content_hash FROM events""")
-def source_readings(spark, d):
-    """What a poll of each source gave: its state, and a hash only of what was read whole."""
-    u, kind = F.col("user_id") % 6, F.col("event_type")
-    status = F.when(kind == "error", F.element_at(F.array(*map(F.lit, (403, 429, 0, 0, 503, 404))), (u + 1).cast("int"))).otherwise(200)
-    error = F.when((kind == "error") & (u == 2), "stopped:limit").when(kind == "error", "failed")
-    body = F.when(kind == "click", "<p>Are you a ROBOT?</p>").otherwise(F.concat(F.lit("<html><nav>Menu 3</nav><p>Week "), u.cast("string"), F.lit("</p><div>We use cookies</div></html>")))
-    r = pages.reading(kind != "error", status, error, body, F.when(kind == "signup", "manual").otherwise("page"))
-    return table(spark, d, "events").select("event_id", r["status"].alias("status"), r["content_hash"].alias("content_hash"))
-
-
-@_query("""WITH x AS (SELECT c_custkey AS k, c_custkey % 8 AS a, c_nationkey % 5 AS b FROM customer), y AS (SELECT k, a = 7 AS unsup, a = 6 AS missing, a = 5 AS failed, a = 4 AS same_page, b FROM x)
-SELECT k AS c_custkey, CASE WHEN unsup THEN 'UNSUPPORTED' WHEN missing THEN 'FAILED' WHEN failed THEN 'FAILED' WHEN same_page THEN 'UNCHANGED_SOURCE' WHEN b = 4 THEN 'FAILED' WHEN b = 0 THEN 'BASELINE' WHEN b = 1 THEN 'UNCHANGED_FACTS' ELSE 'CHANGED_FACTS' END AS outcome,
- NOT (unsup OR missing OR failed OR same_page) AND b IN (0, 2, 3) AS changed, CASE WHEN unsup THEN 'crawl_strategy_not_fetchable:manual' WHEN missing THEN 'not_fetched' WHEN failed THEN 'fetch_error' WHEN NOT same_page AND b = 4 THEN 'no_records' END AS error,
- CAST(24 + k % 3 AS BIGINT) AS hours FROM y""")
-def source_cycle(spark, d):
-    """A cycle over sources: what is extracted, what it says, and when each is due again."""
-    k, a, b = F.col("c_custkey"), F.col("c_custkey") % 8, F.col("c_nationkey") % 5
-    now = F.lit("1998-01-01 00:00:00").cast("timestamp")
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    old = F.when(b == 0, None).otherwise(F.concat(F.lit("camp-facts-v2:sha256:a"), k.cast("string")))
-    s = c.select("c_custkey", F.when(a == 7, "manual").otherwise("static_html").alias("strategy"), F.when(k % 3 != 0, 24 + k % 3).alias("hours"), F.lit("h1").alias("last_hash"), old.alias("last_print"))
-    shots = c.where("c_custkey % 8 <> 6").select("c_custkey", F.when(a == 5, "error").otherwise("success").alias("status"), F.when(a == 4, "h1").otherwise("h2").alias("content_hash"), F.lit(True).alias("has_content"))
-    prints = F.concat(F.lit("camp-facts-v2:sha256:"), F.when(b == 1, "a").otherwise("b"), k.cast("string"))
-    records = c.where("c_custkey % 8 < 4").select("c_custkey", prints.alias("fact_print"), F.when(b == 4, 0).otherwise(3).alias("n_records"))
-    out = ingest.process_sources(s, shots, records, "c_custkey", now)
-    return out.select("c_custkey", "outcome", "changed", "error", ((F.unix_timestamp("next_check_at") - F.unix_timestamp(now)) / 3600).cast("long").alias("hours"))
-
-
 @_query("""WITH s AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'pending' ELSE 'approved' END AS status, CASE WHEN c_custkey % 6 = 1 THEN DATE '1997-05-05' END AS pub FROM customer WHERE c_acctbal < 8000),
 n AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'fix' WHEN 1 THEN 'declined' ELSE 'approved' END AS status, CASE WHEN c_custkey % 8 < 2 THEN 'why' ELSE ' ' END AS note FROM customer WHERE c_acctbal > 0),
 j AS (SELECT coalesce(s.k, n.k) AS k, s.status AS old, n.status AS new, n.note, pub, coalesce(n.status IN ('fix', 'declined') AND trim(n.note) = '', FALSE) AS refused FROM s FULL JOIN n ON s.k = n.k),
@@ -143,11 +78,3 @@ def reviewed_latest(spark, d):
 def watched_pages(spark, d):
     """The text of pages that a watch compares, without navigation (tested against a plain version)."""
     return table(spark, d, "pages").select("page_id", pages.watch_text(F.col("html")).alias("watched"))
-
-
-@_query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 1 END AS off_season FROM nation""")
-def seasons(spark, d):
-    """Categories in season by the month."""
-    start = F.when(F.col("n_nationkey") % 3 == 0, 11).otherwise(4)
-    rows = table(spark, d, "nation").select("n_nationkey", "n_name", dates.in_season(F.lit(1), start, F.when(F.col("n_nationkey") % 3 == 0, 2).otherwise(9)).alias("inside"))
-    return ingest.season_order(rows, F.col("inside"), "n_name", "n_nationkey").select("n_nationkey", F.when(F.col("inside"), 0).otherwise(1).alias("off_season"))

@@ -6,19 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sorrel.functions.facts import entry_id, safe_public_id
+from sorrel.functions.jsons import strict_json
 from sorrel.functions.text import decode_entities
 
 
-def parsed(text: Column) -> Column:
-    """VARIANT of a JSON text; null for a null, empty or malformed one."""
-    return F.try_parse_json(F.nullif(F.trim(text), F.lit("")))
-
-
 def embedded_json(html: Column, attribute: str) -> Column:
     """VARIANT of the JSON in the first ``attribute="..."`` of a page, its entities decoded; null without one or if it is malformed."""
     found = F.regexp_extract(html, rf"""(?i)\b{attribute}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
     other = F.regexp_extract(html, rf"""(?i)\b{attribute}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 2)
-    return parsed(decode_entities(F.concat(found, other)))
+    return strict_json(decode_entities(F.concat(found, other)))
 
 
 def text_at(v: Column, path: str) -> Column:
@@ -95,7 +91,7 @@ def past_items(rows: DataFrame, raw: str, reasons: tuple[str, ...] = REASONS) ->
     kind, program = text_at(e, "$.ref.kind"), safe("$.ref.programId")
     item = F.when(kind == "camp_session", F.when(program.isNotNull(), safe("$.ref.sessionId"))).when(kind == "camp_program", program).when(kind == "discover_listing", safe("$.ref.listingId"))
     saved = F.coalesce(time("$.savedAt"), F.lit("1970-01-01T00:00:00.000Z"))
-    out = elements(rows.select(*keep, parsed(F.col(raw)).alias("variant_json")), "variant_json").select(
+    out = elements(rows.select(*keep, strict_json(F.col(raw)).alias("variant_json")), "variant_json").select(
         *keep, "pos", F.when(item.isNotNull(), entry_id(kind, program, item)).alias("entry"), text_at(e, "$.reason").alias("reason"),
         saved.alias("saved_at"), F.coalesce(time("$.movedAt"), saved).alias("moved_at"), time("$.registeredMarkedAt").alias("registered_at"),
     )

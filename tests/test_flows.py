@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from sorrel.functions import sections
+from sorrel.functions.jsons import strict_json
 from sorrel.sources import variants
 
 
@@ -44,13 +45,13 @@ def test_blocks_pass_the_open_state_on(spark, monkeypatch):
 
 def test_variants(spark):
     texts = ['{"a": 1}', '{"a": "2.50"}', '{"a": "x1"}', '{"a": "0x10"}', '{"a": "5d"}', '{"a": true}', '{"a": null}', '{"a": [1]}', '{"a": {"b": 1}}', "[1, 2]", "3", '"s"', "null", "{bad", "", "  ", None, '{"a": 1e400}', '{"a": 12345678901234567890.5}']
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, j string").repartition(3, "i").select("i", variants.parsed(F.col("j")).alias("v")).repartition(2, "i")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, j string").repartition(3, "i").select("i", strict_json(F.col("j")).alias("v")).repartition(2, "i")
     a = F.col("v")
     got = {r.i: (r.n, r.t, r.f) for r in df.select("i", variants.number_at(a, "$.a").alias("n"), variants.text_at(a, "$.a").alias("t"), variants.flag_at(a, "$.a").alias("f")).collect()}
     want = {0: (1.0, None, None), 1: (2.5, "2.50", None), 2: (None, "x1", None), 3: (None, "0x10", None), 4: (None, "5d", None), 5: (None, None, True), 18: (12345678901234567890.5, None, None)}
     assert got == {i: want.get(i, (None, None, None)) for i in range(len(texts))}
     rows = spark.createDataFrame([(1, '[{"a": 1}, 2, null, "x"]'), (2, '{"a": 1}'), (3, "[1"), (4, None), (5, "[]")], "i int, j string")
-    out = variants.elements(rows.select("i", variants.parsed(F.col("j")).alias("v")), "v").select("i", "pos", variants.number_at(F.col("element"), "$.a").alias("a"))
+    out = variants.elements(rows.select("i", strict_json(F.col("j")).alias("v")), "v").select("i", "pos", variants.number_at(F.col("element"), "$.a").alias("a"))
     assert sorted(map(tuple, out.collect())) == [(1, 0, 1.0), (1, 1, None), (1, 2, None), (1, 3, None)]
 
 
@@ -79,3 +80,10 @@ def test_past_items(spark):
     got = variants.past_items(spark.createDataFrame([(1, json.dumps(items)), (2, "[]"), (3, "x"), (4, None)], "u int, raw string"), "raw").orderBy("pos").collect()
     epoch = "1970-01-01T00:00:00.000Z"
     assert [tuple(r) for r in got] == [(1, 0, "camp_session:p:s", "removed", t, t, t), (1, 1, "camp_program:p", "unavailable", epoch, epoch, None)]
+
+
+def test_json_is_strict(spark):
+    texts = ["{}", " [1, 2] ", "1", "null", "{} x", "[1]}", "1, 2", "1],[2", '1},{"v":2', '1,"w":2', "[1", "", " ", None, '{"a":1}{"a":2}', "tru", '"x"']
+    fine = ["{}", " [1, 2] ", "1", "null", '"x"']
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strict_json(F.col("t")).isNotNull().alias("ok")).collect()
+    assert [r.t for r in got if r.ok] == fine

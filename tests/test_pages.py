@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sorrel.functions import ages, facts, pages
+from sorrel.functions import addresses, ages, facts, pages
 from sorrel.operators import reconcile, venue_facts
 
 
@@ -21,7 +21,7 @@ def test_metadata_and_links(spark):
     assert got == [({"description": "A & B", "og:title": "Title"}, "https://x.example/a"), ({}, None)]
     urls = [("/a/b", "https://x.example/c/d?e"), ("f", "https://x.example/c/d"), ("f", "https://x.example"), ("//y.example/z", "https://x.example/c"), ("https://z.example", "https://x.example"), ("#top", "https://x.example"), ("javascript:x()", "https://x.example"), ("mailto:a@b.c", "https://x.example"), (" ", None)]
     got = values(spark, urls, "u string, b string", pages.absolute_url(F.col("u"), F.col("b")), pages.link_problem(F.col("u")))
-    assert [g[0] for g in got] == ["https://x.example/a/b", "https://x.example/c/f", "https://x.example/f", "https://y.example/z", "https://z.example", None, None, None, None]
+    assert [g[0] for g in got] == ["https://x.example/a/b", "https://x.example/c/f", "https://x.example/f", "https://y.example/z", "https://z.example/", None, None, None, None]
     assert [g[1] for g in got] == [None] * 5 + ["url_is_fragment_only", "unsupported_url_scheme", "non_http_url", "url_not_stated"]
 
 
@@ -69,8 +69,13 @@ def test_canonical_facts(spark):
     prints = [("v1:sha256:AB", "v1:sha256:ab"), ("v1:sha256:ab", "v2:sha256:ab"), ("sha256:ab", "v2:sha256:ab"), (None, "v2:sha256:ab"), ("odd", "v2:sha256:ab"), ("v2:sha256:ab", "v2:sha256:ac")]
     got = values(spark, prints, "a string, b string", facts.compare_fingerprints(F.col("a"), F.col("b")))
     assert [g[0] for g in got] == ["unchanged", "version_mismatch", "version_mismatch", "baseline", "version_mismatch", "changed"]
-    same = values(spark, [("A  b", "a b"), ("", None), ("1", "1.0"), (None, "x")], "a string, b string", facts.values_equal(F.col("a"), F.col("b")), facts.values_equal(F.col("a"), F.col("b"), numeric=True))
-    assert same == [(True, True), (True, True), (False, True), (False, True)]
+    pairs = [("A  b", "a b"), ("", None), ("1", "1.0"), (None, "x"), (None, None), ("x", "x"), ("Camp A", "camp  a")]
+    same = values(spark, pairs, "a string, b string", facts.values_equal(F.col("a"), F.col("b")), facts.same_words(F.col("a"), F.col("b")))
+    assert same == [(False, True), (False, True), (False, False), (False, False), (True, True), (True, True), (False, True)]
+    loose = ["5d", "5f", "0x10", "0o17", "0b101", " 2.50 ", "1e3", ".5", "5.", "+7", "-3", "1e400", "Infinity", "NaN", "1_0", "", None, "12 3", "0x", "1e", "12345678901234567890"]
+    got = [g[0] for g in values(spark, [(x,) for x in loose], "t string", facts.number(F.col("t")))]
+    assert got == [None, None, 16.0, 15.0, 5.0, 2.5, 1000.0, 0.5, 5.0, 7.0, -3.0, *[None] * 8, None, 12345678901234567890.0][: len(loose)]
+    assert [g[0] for g in values(spark, [("4.0",), ("4.5",), ("1e30",)], "t string", facts.whole(F.col("t")))] == [4, None, None]
     ids = values(spark, [("b, a,,b,z",), (None,)], "t string", facts.known_ids(F.col("t"), F.array(F.lit("a"), F.lit("b"))))
     assert ids == [(["b", "a"],), (None,)]
     fam = values(spark, [('{"ages":[5,2.5,19,5,3],"asOfDate":"2026-01-01"}',), ("junk",), (None,)], "t string", facts.family_ages(F.col("t"))["ages"], facts.family_ages(F.col("t"))["as_of"])
@@ -100,3 +105,76 @@ def test_venue_gates(spark):
     assert got == {1: (2495, True, False), 2: (None, False, True)}
     got = values(spark, [(2,), (6,), (12,)], "a int", venue_facts.age_verdict(F.col("a"), F.lit(3), F.lit(8)), venue_facts.age_verdict(F.col("a"), F.lit(None).cast("int"), F.lit(None).cast("int")))
     assert got == [("too_young", "no_age_info"), ("fits", "no_age_info"), ("too_old", "no_age_info")]
+
+
+def test_links_are_resolved_as_addresses(spark):
+    base = "https://H.example:443/x/y?q=1#f"
+    cases = {
+        "../a": "https://h.example/a", "?p=2": "https://h.example/x/y?p=2", "a b": "https://h.example/x/a%20b", "./": "https://h.example/x/", "..": "https://h.example/", "../../../z/": "https://h.example/z/",
+        "/a/./b/../c": "https://h.example/a/c", "//O.example/p": "https://o.example/p", "HTTP://o.example:80": "http://o.example/", "http://o.example:8080/a": "http://o.example:8080/a", "é/\"q": "https://h.example/x/%C3%A9/%22q",
+        "a\\b": "https://h.example/x/a/b", " z\n": "https://h.example/x/z", "a?b=c d'": "https://h.example/x/a?b=c%20d%27", "c#d": "https://h.example/x/c#d", "😀": "https://h.example/x/%F0%9F%98%80", "...": "https://h.example/x/...",
+    }
+    got = values(spark, [(u,) for u in cases], "u string", pages.absolute_url(F.col("u"), F.lit(base)))
+    assert [g[0] for g in got] == list(cases.values())
+    odd = values(spark, [("",), ("#x",), ("javascript:x",), ("mailto:a@b",), (None,)], "u string", pages.absolute_url(F.col("u"), F.lit(base)))
+    assert odd == [(None,)] * 5 and values(spark, [("a",)], "u string", pages.absolute_url(F.col("u"), F.lit("https://h.example"))) == [("https://h.example/a",)]
+
+
+def test_addresses_are_read_part_by_part(spark):
+    cases = {
+        "At 12 King St W, St. John's, NL A1B 2C3": ("12 King St W", "St. John's", "NL", "A1B 2C3"), "5 Elm Rd, Guelph, Ontario, n1h3a1": ("5 Elm Rd", "Guelph", "ON", "N1H3A1"), "5 Elm Rd, Guelph, on.": ("5 Elm Rd", "Guelph", "ON", None),
+        "Camps, food, 123456 Elm Rd, Guelph, Quebec J4B 1A1": ("123456 Elm Rd", "Guelph", "QC", "J4B 1A1"), "12 a, Guelph, ON": None, "12 Elm, Guelph, Texas": None, "12 Elm, G9, ON": None, "Elm Rd, Guelph, ON": None, "Open, 9 Long Road, Oakville, on canada L6H 1A1": ("9 Long Road", "Oakville", "ON", None),
+        "": None, "3 Elm St, Only, Onward": None,
+    }
+    got = values(spark, [(x,) for x in cases], "l string", addresses.address(F.col("l")))
+    assert [tuple(g[0]) if g[0] else None for g in got] == list(cases.values())
+    assert values(spark, [(None,)], "l string", addresses.address(F.col("l"))) == [(None,)]
+
+
+def test_feed_readings_are_facts(spark):
+    a = '[{"id":"2","name":"B","price":10.0},{"id":"1","name":"A","spots":3}]'
+    b = ' { "rows" : [ {"spots":3, "id":"1","name":"A","extra":1}, {"price": 10,"id":"2","name":"B"} ] } '
+    c = '[{"id":"1","name":"A","spots":4},{"id":"2","name":"B","price":10.0}]'
+    rows = [(a, 200, None), (b, 200, None), (c, 200, None), ("[1", 200, None), ("<html>Captcha</html>", 200, None), ("", 0, "timeout"), ("", 0, "bad url"), ("", 503, "x"), ("", 429, "x"), ("", 404, "x")]
+    r = pages.reading(F.col("code") == 200, F.col("code"), F.col("error"), F.col("body"), F.lit("feed"))
+    got = values(spark, rows, "body string, code int, error string", r["status"], r["content_hash"])
+    assert [g[0] for g in got] == ["ok", "ok", "ok", "error", "blocked", "unreachable", "error", "unreachable", "blocked", "error"]
+    assert got[0][1] == got[1][1] != got[2][1] and all(g[1] is None for g in got[3:])
+    kept = pages.reading(F.lit(True), F.lit(200), F.lit(None).cast("string"), F.col("body"), F.lit("feed"), keep=lambda x: x["name"] == "A")
+    assert len({g[0] for g in values(spark, [(a,), (b,)], "body string", kept["content_hash"])}) == 1
+    assert values(spark, [(a,)], "body string", pages.feed_facts(F.col("body"), lambda x: x["name"] == "C")) == [("[]",)]
+
+
+def test_registration_links_by_rank(spark):
+    schema = "links array<struct<href:string,text:string>>"
+    rows = [
+        ([("https://x.example/a", "Register today"), ("https://App.Active.com/z", "go")],), ([("mailto:a@b", "Register"), ("https://x.example/signup", "go")],), ([("https://x.example/b", "We registered"), ("https://x.example/c", "Enrolment")],),
+        ([("/plain", "about")],), ([],), ([("https://x.example/book", "Book  now"), ("https://x.example/d", "book now!")],),
+    ]
+    got = values(spark, rows, schema, pages.registration_link(F.col("links"), r"active\.com$")["href"])
+    assert [g[0] for g in got] == ["https://App.Active.com/z", "https://x.example/signup", "https://x.example/c", None, None, "https://x.example/d"]
+
+
+def test_stated_ages(spark):
+    d = dt.date(2026, 7, 1)
+    rows = [(6, d, d), (6, dt.date(2026, 6, 30), d), (4, d, d), (6, None, d), (6, d, None), (6.5, d, d), (None, d, d), (-1, d, d)]
+    got = values(spark, [(None if a is None else float(a), x, y) for a, x, y in rows], "a double, x date, y date", ages.stated_age_fits(F.col("a"), F.col("x"), F.col("y"), F.lit(5), F.lit(8)))
+    assert [g[0] for g in got] == ["yes", "unknown", "no", *["unknown"] * 5]
+
+
+def test_cycles_take_the_stated_branches(spark):
+    from sorrel.operators import ingest
+
+    v1, v2 = "camp-facts-v1:sha256:aa", "camp-facts-v2:sha256:aa"
+    s = spark.createDataFrame([("same", "static_html", "h", v2), ("old", "static_html", "h", v1), ("moved", "static_html", "g", v1), ("equal", "static_html", "g", v2), ("new", "static_html", None, None), ("bad", "static_html", "g", v2), ("changed", "static_html", "g", "camp-facts-v2:sha256:bb"), ("call", "manual", None, None), ("gone", "static_html", None, None)], "k string, strategy string, last_hash string, last_print string").withColumn("hours", F.lit(24))
+    shots = spark.createDataFrame([(k, "success", "h", True) for k in ("same", "old", "moved", "equal", "new", "bad", "changed")], "k string, status string, content_hash string, has_content boolean")
+    facts_ = spark.createDataFrame([(k, v2, 0 if k == "bad" else 2) for k in ("same", "old", "moved", "equal", "new", "bad", "changed")], "k string, fact_print string, n_records int")
+    now = F.lit("2026-01-01").cast("timestamp")
+    got = {r.k: (r.outcome, r.changed, r.successful, r.candidates, r.error) for r in ingest.process_sources(s, shots, facts_, "k", now).collect()}
+    assert got == {
+        "same": ("UNCHANGED_SOURCE", False, True, False, None), "old": ("REBASELINED", False, True, False, None), "moved": ("CHANGED_VERSION", True, True, True, None), "equal": ("UNCHANGED_FACTS", False, True, False, None),
+        "new": ("BASELINE", True, True, True, None), "bad": ("EXTRACTION_FAILED", True, False, False, "extraction_failed"), "changed": ("CHANGED_FACTS", True, True, True, None),
+        "call": ("UNSUPPORTED", False, False, False, "crawl_strategy_not_fetchable:manual"), "gone": ("FAILED", False, False, False, "not_fetched"),
+    }
+    forced = {r.k: (r.outcome, r.candidates) for r in ingest.process_sources(s, shots, facts_, "k", now, force=True).collect()}
+    assert forced["same"] == forced["equal"] == ("FORCED", True) and forced["old"] == ("CHANGED_VERSION", True)

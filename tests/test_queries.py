@@ -29,8 +29,8 @@ def test_equals_sql(spark, duck, sf_dir, name):
     cols, want = [c[0] for c in cur.description], cur.fetchall()
     assert sorted(df.columns) == sorted(cols)
     order = sorted(cols)
-    a = sorted(tuple(plain(r[c]) for c in order) for r in df.collect())
-    assert a == sorted(tuple(plain(r[cols.index(c)]) for c in order) for r in want)
+    a = sorted((tuple(plain(r[c]) for c in order) for r in df.collect()), key=str)
+    assert a == sorted((tuple(plain(r[cols.index(c)]) for c in order) for r in want), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
