@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.functions.facts import entry_id, safe_public_id
+from sorrel.functions.facts import entry_id, number, safe_public_id
 from sorrel.functions.jsons import strict_json
-from sorrel.functions.text import decode_entities
+from sorrel.functions.text import decode_entities, let
 
 
 def embedded_json(html: Column, attribute: str) -> Column:
@@ -17,26 +19,24 @@ def embedded_json(html: Column, attribute: str) -> Column:
     return strict_json(decode_entities(F.concat(found, other)))
 
 
+def typed_at(v: Column, path: str, use: Callable[[Column], Column]) -> Column:
+    """``use`` of struct<kind, text> of the value at a path, which is looked up once: its kind as SQL names it, and its text."""
+    return let(F.struct(F.schema_of_variant(F.try_variant_get(v, path, "variant")).alias("kind"), F.try_variant_get(v, path, "string").alias("text")), use)
+
+
 def text_at(v: Column, path: str) -> Column:
     """The string at a path; null for any other kind of value."""
-    at = F.try_variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(v, path, "string"))
+    return typed_at(v, path, lambda x: F.when(x["kind"] == "STRING", x["text"]))
 
 
 def number_at(v: Column, path: str) -> Column:
     """The finite number at a path, also of a text that is one; null for any other value."""
-    at = F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(at)
-    text = F.trim(F.try_variant_get(v, path, "string"))
-    plain = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
-    value = F.when(kind == "STRING", plain).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, path, "double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    return typed_at(v, path, lambda x: F.when((x["kind"] == "STRING") | x["kind"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number(x["text"])))
 
 
 def flag_at(v: Column, path: str) -> Column:
     """The boolean at a path; null for any other value."""
-    at = F.try_variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(at) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+    return typed_at(v, path, lambda x: F.when(x["kind"] == "BOOLEAN", x["text"] == "true"))
 
 
 def elements(rows: DataFrame, variant: str) -> DataFrame:
