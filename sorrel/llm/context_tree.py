@@ -103,20 +103,25 @@ GATHERED = "kind string, block long, chunk binary, gram long, word binary, n lon
 CHUNK = 1 << 20
 
 
+#: While tables are written: a job's shuffle files go when its table is there, not when the driver next collects garbage, and Arrow batches stay small.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 @contextmanager
-def released_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Spark deletes a job's shuffle files when its table is written, not when the driver next collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def job_settings(spark: SparkSession) -> Iterator[None]:
+    """SETTINGS hold within, and what held before holds again behind."""
+    before = {k: spark.conf.get(k) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def packed(batch) -> Iterator[tuple[bytes, int]]:
-    """The rows of an Arrow batch as compressed streams of about CHUNK bytes of texts, at least one row each, and how many of them aren't held out."""
+def packed(batch) -> Iterator[tuple]:
+    """The rows of an Arrow batch in slices of about CHUNK bytes of texts, at least one row each, and each slice as a compressed stream."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -127,7 +132,7 @@ def packed(batch) -> Iterator[tuple[bytes, int]]:
         out = pa.BufferOutputStream()
         with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
             stream.write_batch(batch.slice(at, end - at))
-        yield out.getvalue().to_pybytes(), batch.column(1).slice(at, end - at).to_pylist().count(False)
+        yield batch.slice(at, end - at), out.getvalue().to_pybytes()
         at = end
 
 
@@ -160,19 +165,16 @@ def gather(docs: DataFrame, ws: Workspace) -> DataFrame:
                 yield rows("word", word=pa.array(names[at : at + 50_000], pa.binary()), n=pa.array(counts[at : at + 50_000], pa.int64()))
 
         for batch in batches:
-            _, held, bodies = batch.columns
-            for chunk, trained in packed(batch):
-                yield rows("text", chunk=pa.array([chunk], pa.binary()), n=pa.array([trained], pa.int64()))
-            for out, group in ((False, []), (True, [])):
-                group += [b.as_py() for b in bodies.filter(held if out else pc.invert(held))]
-                for g, _ in pieces(group):
-                    grams.add(g, not out)
-                for own in (w for t in group for w in words_of(t)):
-                    if out:
-                        words.update(dict.fromkeys(own, 0))
-                    else:
-                        words.update(own)
-                taken += sum(map(len, group))
+            for part_of, chunk in packed(batch):
+                held, bodies = part_of.column(1), part_of.column(2)
+                trained = [b.as_py() for b in bodies.filter(pc.invert(held))]
+                yield rows("text", chunk=pa.array([chunk], pa.binary()), n=pa.array([len(trained)], pa.int64()))
+                for group, counted in ((trained, True), ([b.as_py() for b in bodies.filter(held)], False)):
+                    for g, _ in pieces(group):
+                        grams.add(g, counted)
+                    for own in (w for t in group for w in words_of(t)):
+                        words.update(own if counted else dict.fromkeys(own, 0))
+                taken += int(pc.sum(pc.binary_length(bodies)).as_py())
             if taken >= BLOCK or len(words) >= BLOCK_WORDS or grams.size >= BLOCK_GRAMS:
                 yield from lists()
                 seq, taken, grams = seq + 1, 0, Counts()
@@ -377,7 +379,7 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     columns aren't read.
     """
     ws = Workspace(spark, "lm")
-    with released_shuffles(spark):
+    with job_settings(spark):
         all_rows = gather(docs, ws)
         lists = {k: all_rows.where(F.col("kind") == k) for k in ("text", "gram", "word")}
         grams = ws.table(lists["gram"].groupBy("gram").agg(F.sum("n").alias("n")), "grams")
