@@ -2,38 +2,105 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sorrel.sources.work import written
+
 #: Code points of an index gram; shorter words are looked up as they are.
 GRAM = 3
 #: How many of a query's rarest grams are intersected before texts are read.
 RAREST = 3
+#: Distinct grams of all queries that are sent to the tasks, at most (eight bytes each); more are joined.
+SENT = 1_000_000
+
+
+def grams(text: str, lengths: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
+    """The distinct runs of so many code points of a text as numbers of 63 bits, ascending."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1  # 0: no code point
+    found = []
+    for n in lengths:
+        if len(c) >= n:
+            key = c[: len(c) - n + 1] << 42
+            for k in range(1, n):
+                key = key | c[k : len(c) - n + 1 + k] << (42 - 21 * k)
+            found.append(key)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def gram_index(texts: DataFrame, id_: str, text: str) -> DataFrame:
-    """(gram, id): the distinct runs of one to GRAM code points of each lower-cased text. A null text has none."""
+def _over_texts(texts: DataFrame, id_: str, text: str, use: Callable, schema: str) -> DataFrame:
+    """``use`` of an iterator of (id, lower-cased text)."""
     src = texts.select(F.col(id_).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            ids, grams = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = t.as_py()
-                own = {g for n in range(GRAM) for g in map("".join, zip(*[t[k:] for k in range(n + 1)]))}
-                ids += [i] * len(own)
-                grams += own
-                if len(grams) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(ids, batch.schema.field(0).type)], ["gram", "id"])
-                    ids, grams = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(ids, batch.schema.field(0).type)], ["gram", "id"])
+        kinds = []
+
+        def rows() -> Iterator:
+            for batch in batches:
+                kinds[:] = [batch.schema.field(0).type]
+                yield from zip(batch.column(0).to_pylist(), map(lambda t: t.as_py(), batch.column(1)))
+
+        for grams_, other in use(rows()):
+            yield pa.RecordBatch.from_arrays([pa.array(grams_, pa.int64()), pa.array(other, pa.int64() if schema == "n" else kinds[0])], ["gram", schema])
+
+    return src.mapInArrow(run, f"gram long, {schema} {'long' if schema == 'n' else src.schema['id'].dataType.simpleString()}")
+
+
+def gram_index(texts: DataFrame, id_: str, text: str, lengths: tuple[int, ...] = (1, 2, 3), only: np.ndarray | None = None) -> DataFrame:
+    """(gram, id): the distinct grams of each lower-cased text, of those in ``only`` (ascending) if given. A null text has none."""
+
+    def use(rows: Iterator) -> Iterator:
+        ids, found, size = [], [], 0
+        for i, t in rows:
+            g = grams(t, lengths)
+            if only is not None:
+                g = g[only[np.searchsorted(only, g).clip(max=len(only) - 1)] == g] if len(only) else g[:0]
+            found.append(g)
+            ids += [i] * len(g)
+            size += len(g)
+            if size > 100_000:
+                yield np.concatenate(found), ids
+                ids, found, size = [], [], 0
+        if size:
+            yield np.concatenate(found), ids
+
+    return _over_texts(texts, id_, text, use, "id")
 
-    kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"gram string, id {kind}")
+
+def gram_counts(texts: DataFrame, id_: str, text: str, lengths: tuple[int, ...]) -> DataFrame:
+    """(gram, df): how many texts have each gram. A task adds up its own texts first."""
+
+    def use(rows: Iterator) -> Iterator:
+        keys, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            k, n = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(k, kind="stable")
+            k, n = k[order], n[order]
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+            return k[first], np.add.reduceat(n, first) if len(first) else n
+
+        for _, t in rows:
+            g = grams(t, lengths)
+            keys.append(g)
+            counts.append(np.ones(len(g), np.int64))
+            size += len(g)
+            if size > 2_000_000:
+                k, n = merged()
+                keys, counts, size = [k], [n], 0
+                if len(k) > 1_000_000:
+                    yield k, n
+                    keys, counts = [k[:0]], [n[:0]]
+        k, n = merged()
+        for at in range(0, len(k), 100_000):
+            yield k[at : at + 100_000], n[at : at + 100_000]
+
+    return _over_texts(texts, id_, text, use, "n").groupBy("gram").agg(F.sum("n").alias("df"))
 
 
 def query_words(query: Column) -> Column:
@@ -41,28 +108,43 @@ def query_words(query: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), r"\s+"), lambda w: w != ""))
 
 
-def word_grams(word: Column) -> Column:
-    """The index grams of a word: all of GRAM code points, or the word itself if it is shorter."""
-    n = F.char_length(word)
-    return F.when(n <= GRAM, F.array(word)).otherwise(F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substring(word, i, F.lit(GRAM))))
+def query_grams(asked: DataFrame) -> DataFrame:
+    """(q, gram) of (q, words): the grams of GRAM code points of a query's words; of a query that has none, its words themselves."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            qs, found = [], []
+            for q, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = [g for w in words if len(w) >= GRAM for g in grams(w, (GRAM,)).tolist()] or [g for w in words for g in grams(w, (len(w),)).tolist()]
+                qs += [q] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(qs, batch.schema.field(0).type), pa.array(found, pa.int64())], ["q", "gram"])
+
+    return asked.mapInArrow(run, f"q {asked.schema['q'].dataType.simpleString()}, gram long").distinct()
 
 
 def substring_search(texts: DataFrame, id_: str, text: str, queries: DataFrame, query_id: str, query: str, index: DataFrame | None = None) -> DataFrame:
     """(query_id, id): the texts that contain every word of the query somewhere, without regard to case.
 
     Of a query's grams the RAREST rarest are intersected; a gram that no text has ends the query. Only texts
-    that are left are read and checked word by word, so results are exact. Words of one or two code points
-    are grams themselves. A query without words finds nothing. ``index`` is the texts' ``gram_index``, if one
-    is kept; ids must be unique on both sides.
+    that are left are read and checked word by word, so results are exact. ``index`` is the texts'
+    ``gram_index``, if one is kept. Without it the texts are walked twice: for counts of all grams, which are
+    added up in the tasks, and for the places of the chosen grams, which are few and rare; up to SENT of them
+    are sent to the tasks, more are joined to the whole index. A query of words of one or two code points
+    only is looked up by these. A query without words finds nothing; ids must be unique on both sides.
     """
-    index = gram_index(texts, id_, text) if index is None else index
     asked = queries.select(F.col(query_id).alias("q"), query_words(F.col(query)).alias("words")).where(F.size("words") > 0)
-    grams = asked.select("q", F.explode(F.array_distinct(F.flatten(F.transform("words", word_grams)))).alias("gram"))
-    wanted = grams.select("gram").distinct()
-    postings = index.join(wanted, "gram")
-    common = postings.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = grams.join(common, "gram", "left").groupBy("q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g"))
-    chosen = ranked.where(F.col("g")[0]["df"] > 0).select("q", F.slice("g", 1, RAREST)["gram"].alias("g"))
-    met = chosen.select("q", F.size("g").alias("need"), F.explode("g").alias("gram")).join(postings, "gram").groupBy("q", "id").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need")
+    wanted = query_grams(asked)
+    long = F.exists("words", lambda w: F.char_length(w) >= GRAM)
+    lengths = (GRAM,) if asked.where(~long).isEmpty() else tuple(range(1, GRAM + 1))
+    counts = gram_counts(texts, id_, text, lengths) if index is None else index.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = wanted.join(counts, "gram", "left").groupBy("q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g"))
+    chosen = written(ranked.where(F.col("g")[0]["df"] > 0).select("q", F.slice("g", 1, RAREST)["gram"].alias("g")), "chosen")
+    if index is None:
+        few = chosen.select(F.explode("g").alias("gram")).distinct().limit(SENT + 1).toArrow().column(0).to_numpy()
+        index = gram_index(texts, id_, text, lengths, np.sort(few) if len(few) <= SENT else None)
+    met = chosen.select("q", F.size("g").alias("need"), F.explode("g").alias("gram")).join(index, "gram").groupBy("q", "id").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need")
     low = texts.select(F.col(id_).alias("id"), F.lower(F.col(text)).alias("low"))
     return met.join(low, "id").join(asked, "q").where(F.forall("words", lambda w: F.col("low").contains(w))).select(F.col("q").alias(query_id), F.col("id").alias(id_))
