@@ -9,6 +9,26 @@ from pyspark.sql import types as T
 VERSION = "camp-facts-v2"
 #: Fields that say how a fact was read and not what it is.
 OBSERVATION = frozenset(("rawValue", "observedAt", "extractionMethod"))
+# What a record of each type states; a type that isn't named states all its fields. Fixed values of the stored form.
+SESSION_V1 = (
+    "startDate", "endDate", "weekIdentity", "weekNumber", "themeTitle", "themeTitleNormalized", "ageMin", "ageMax", "priceTierKey", "priceTierLabel", "priceAmount", "priceUnit", "currency",
+    "shortWeekPriceAmount", "addOnFeeCad", "addOnLabel", "outingLabel", "coreHoursStart", "coreHoursEnd", "registrationUrl", "registrationPlatform",
+)
+ALLOWED = {
+    "program": (
+        "name", "marketingAgeMin", "marketingAgeMax", "typicalAgeMin", "typicalAgeMax", "derivedAvailableAgeMin", "derivedAvailableAgeMax", "seasonStartDate", "seasonEndDate", "coreHoursStart", "coreHoursEnd",
+        "registrationUrl", "registrationPlatform", "policies", "businessAddress", "knownGaps",
+    ),
+    "session": (*SESSION_V1, "scheduleFormat", "gradeMin", "gradeMax", "ageBands", "seatAvailability", "registrationStatus", "enrolmentCapPerWeek", "beforeCare", "afterCare", "priceOptions"),
+    "venue": ("name", "addressLine", "city", "province", "postalCode"),
+    "provider": ("name", "websiteUrl", "registrationPlatform"),
+}
+#: Never a fact, in whatever record or depth.
+EXCLUDED = frozenset((
+    "observations", "factScope", "sharedObservationKey", "externalId", "providerId", "programId", "venueId", "sourceUrl", "sourceSnapshotId", "snapshotId", "extractionRunId", "observedAt", "extractionMethod", "rawValue", "confidence", "warnings",
+))
+#: Lists whose items have a form of their own: the fields in the order in which items are sorted, and those that stand only where an item has them.
+ITEMS = {"ageBands": (("ageMin", "ageMax", "hoursStart", "hoursEnd", "label"), ("label",)), "priceOptions": (("key", "label", "amount", "unit", "currency"), ())}
 
 
 def text_or_null(value: Column) -> Column:
@@ -100,9 +120,36 @@ def canonical(value: Column, kind: T.DataType, excluded: frozenset[str] = frozen
     return F.when(value.isNull(), "null").otherwise(out)
 
 
+def canonical_items(value: Column, item: T.StructType, form: tuple[tuple[str, ...], tuple[str, ...]]) -> Column:
+    """The canonical JSON of a list of age bands or price options (see ITEMS): its own fields only, missing ones null, items in the order of what they state.
+
+    An option without a key is known by its role.
+    """
+    have = {f.name: f.dataType for f in item.fields}
+    order, optional = form
+
+    def field(x: Column, n: str) -> tuple[Column, T.DataType]:
+        if n == "key" and "role" in have:
+            return (F.coalesce(x["key"], x["role"]) if "key" in have else x["role"]), have["role"]
+        return (x[n], have[n]) if n in have else (F.lit(None).cast("string"), T.StringType())
+
+    def form_of(x: Column) -> Column:
+        stated = F.concat_ws("|", *[F.coalesce(field(x, n)[0].cast("string"), F.lit("")) for n in order])
+        body = [F.concat(F.lit(f'"{n}":'), canonical(*field(x, n))) for n in sorted(order) if n in have or n not in optional]
+        return F.struct(stated.alias("order"), F.concat(F.lit("{"), F.concat_ws(",", *body), F.lit("}")).alias("json"))
+
+    return F.when(value.isNull(), "null").otherwise(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.transform(value, form_of)), lambda x: x["json"]), ","), F.lit("]")))
+
+
 def fact_payload(kind: str, fields: dict[str, tuple[Column, T.DataType]], excluded: frozenset[str] = frozenset()) -> Column:
-    """The canonical JSON of a record's allowed fields, with its type."""
-    parts = [F.concat(F.lit(f'"{n}":'), canonical(c, t, excluded)) for n, (c, t) in sorted(fields.items()) if n not in excluded]
+    """The canonical JSON of a record's facts, with its type: of the fields those that ALLOWED names for the type, age bands and price options in their own form."""
+    def one(n: str, c: Column, t: T.DataType) -> Column:
+        if n in ITEMS and isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType):
+            return canonical_items(c, t.elementType, ITEMS[n])
+        return canonical(c, t, excluded | EXCLUDED)
+
+    kept = {n: f for n, f in fields.items() if n not in excluded | EXCLUDED and (kind not in ALLOWED or n in ALLOWED[kind])}
+    parts = [F.concat(F.lit(f'"{n}":'), one(n, *f)) for n, f in sorted(kept.items())]
     return F.concat(F.lit(f'{{"type":"{kind}","fields":{{'), F.concat_ws(",", *parts), F.lit("}}"))
 
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sorrel.functions import ages, facts
+from sorrel.functions import facts
 from sorrel.functions.money import cents
 from sorrel.operators import cards, locations, reconcile, venue_facts
 from sorrel.sources.tables import table
@@ -135,16 +134,24 @@ def identity_reconciliation(spark, d):
     return reconcile.reconcile(e, cat, "o_orderkey", "c_custkey", "prog", dims, [reconcile.Dimension("rest", "rest", "c_rest", "number")])
 
 
-@_query("""WITH r AS (SELECT l_orderkey, sha256('{"type":"session","fields":{"flags":["' || least(l_returnflag, l_linestatus) || '","' || greatest(l_returnflag, l_linestatus) || '"],"start":"' || strftime(l_shipdate, '%Y-%m-%d') || '","tax":' || CASE WHEN l_tax < 0.05 THEN 'null' ELSE '{"cents":' || CAST(floor(l_tax * 100 + 0.5) AS BIGINT) || ',"unit":"p"}' END || '}}') AS h FROM lineitem)
+def _option(key: str, amount: str) -> str:
+    return f"""'{{"amount":' || {amount} || ',"currency":null,"key":"' || {key} || '","label":null,"unit":null}}'"""
+
+
+_ONE, _TWO = _option("l_returnflag", "CAST(floor(l_tax * 100 + 0.5) AS BIGINT)"), _option("l_linestatus", "CAST(l_quantity AS BIGINT)")
+
+
+@_query(f"""WITH r AS (SELECT l_orderkey, sha256('{{"type":"session","fields":{{"ageBands":[{{"ageMax":null,"ageMin":' || l_linenumber || ',"hoursEnd":null,"hoursStart":null}}],"priceOptions":[' || CASE WHEN l_returnflag < l_linestatus THEN {_ONE} || ',' || {_TWO} ELSE {_TWO} || ',' || {_ONE} END || '],"startDate":"' || strftime(l_shipdate, '%Y-%m-%d') || '"}}}}') AS h FROM lineitem)
 SELECT l_orderkey, 'camp-facts-v2:sha256:' || sha256(count(*) || '-' || """ + " || '-' || ".join(f"CAST(sum(CAST('0x' || h[{1 + 8 * i}:{8 + 8 * i}] AS BIGINT)) % 4294967296 AS BIGINT)" for i in range(8)) + """) AS fingerprint FROM r GROUP BY l_orderkey""")
 def fact_fingerprints(spark, d):
-    """One fingerprint of a source's records, whatever their order and that of their fields and lists."""
-    tax = F.when(F.col("l_tax") >= 0.05, F.struct(F.lit("p").alias("unit"), cents(F.col("l_tax")).alias("cents")))
-    flags, start = F.array("l_returnflag", "l_linestatus"), F.date_format("l_shipdate", "yyyy-MM-dd")
-    seen = F.struct(start.alias("value"), F.lit("as read").alias("rawValue"))
-    kinds = T.StructType([T.StructField("unit", T.StringType()), T.StructField("cents", T.LongType())]), T.StructType([T.StructField("value", T.StringType()), T.StructField("rawValue", T.StringType())])
-    payload = facts.fact_payload("session", {"tax": (tax, kinds[0]), "start": (seen, kinds[1]), "flags": (flags, T.ArrayType(T.StringType())), "note": (F.lit("x"), T.StringType())}, frozenset(["note"]))
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(facts.set_digest(payload).alias("fingerprint"))
+    """One fingerprint of a source's records, whatever their order and that of their fields and lists; what isn't a session's fact doesn't count."""
+    option = lambda key, amount: F.struct(F.col(key).alias("role"), amount.alias("amount"))
+    options = F.array(option("l_returnflag", cents(F.col("l_tax"))), option("l_linestatus", F.col("l_quantity").cast("long")))
+    bands = F.array(F.struct(F.col("l_linenumber").alias("ageMin"), F.lit("as read").alias("copy")))
+    seen = F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("value"), F.lit("as read").alias("rawValue"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", bands.alias("ageBands"), options.alias("priceOptions"), seen.alias("startDate"), F.col("l_partkey").cast("string").alias("externalId"), F.col("l_tax").alias("colour"))
+    payload = facts.fact_payload("session", {f.name: (F.col(f.name), f.dataType) for f in rows.schema.fields[1:]})
+    return rows.groupBy("l_orderkey").agg(facts.set_digest(payload).alias("fingerprint"))
 
 
 @_query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey AS BIGINT) AS p FROM lineitem), g AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'indoor' WHEN 1 THEN 'outdoor' WHEN 2 THEN 'both' WHEN 3 THEN 'primarily_outdoor' WHEN 4 THEN 'virtual' END AS setting FROM part WHERE p_size <> 50)

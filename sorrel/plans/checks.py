@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sorrel.functions import ages, dates, logic, registration, venues
-from sorrel.operators import changes, cycles, summaries, views
+from sorrel.functions import ages, dates, logic, registration
+from sorrel.operators import cycles, summaries
 from sorrel.sources.tables import table
 
 QUERIES: dict = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sorrel.functions import dates, pages
+from sorrel.functions import pages
 from sorrel.operators import ingest
 from sorrel.sources.tables import table
 

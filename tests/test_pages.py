@@ -178,3 +178,19 @@ def test_cycles_take_the_stated_branches(spark):
     }
     forced = {r.k: (r.outcome, r.candidates) for r in ingest.process_sources(s, shots, facts_, "k", now, force=True).collect()}
     assert forced["same"] == forced["equal"] == ("FORCED", True) and forced["old"] == ("CHANGED_VERSION", True)
+
+
+def test_age_bands_and_price_options_have_their_own_form(spark):
+    schema = "bands array<struct<ageMax:int,ageMin:int,copy:string,hoursStart:string>>, named array<struct<label:string,ageMin:int>>, options array<struct<role:string,amount:double,label:string>>, keyed array<struct<key:string,role:string>>, id string"
+    rows = [([(9, 6, "big", "09:00"), (5, None, "small", None)], [("Kits", 3)], [("day", 50.0, "Day"), ("week", 200.0, None)], [(None, "r"), ("k", "s")], "x"), ([(5, None, "tiny", None), (9, 6, "BIG", "09:00")], [("Kits", 3)], [("week", 200.0, None), ("day", 50.0, "Day")], [("k", "q"), (None, "r")], "y"), (None, None, None, None, "z")]
+    df = spark.createDataFrame(rows, schema)
+    f = {c: (F.col(c), df.schema[c].dataType) for c in df.columns}
+    one = facts.fact_payload("session", {"ageBands": f["bands"], "priceOptions": f["options"], "externalId": f["id"], "colour": f["id"]})
+    two = facts.fact_payload("odd", {"ageBands": f["named"], "priceOptions": f["keyed"], "externalId": f["id"], "colour": f["id"]})
+    got = [tuple(r) for r in df.select(one, two).collect()]
+    bands = '[{"ageMax":9,"ageMin":6,"hoursEnd":null,"hoursStart":"09:00"},{"ageMax":5,"ageMin":null,"hoursEnd":null,"hoursStart":null}]'
+    assert got[0][0] == got[1][0]
+    want = '{"type":"session","fields":{"ageBands":%s,"priceOptions":[{"amount":50.0,"currency":null,"key":"day","label":"Day","unit":null},{"amount":200.0,"currency":null,"key":"week","label":null,"unit":null}]}}'
+    assert got[0][0] in (want % bands, want % ("[" + ",".join(reversed(["{" + x.strip("[]{}") + "}" for x in bands.strip("[]").split("},{")])) + "]"))
+    assert got[2][0] == '{"type":"session","fields":{"ageBands":null,"priceOptions":null}}'
+    assert got[0][1] == '{"type":"odd","fields":{"ageBands":[{"ageMax":null,"ageMin":3,"hoursEnd":null,"hoursStart":null,"label":"Kits"}],"colour":"x","priceOptions":[{"amount":null,"currency":null,"key":"k","label":null,"unit":null},{"amount":null,"currency":null,"key":"r","label":null,"unit":null}]}}'
