@@ -22,7 +22,7 @@ FOLDS, HELD_OUT = 7, 2
 #: UTF-8 never has this byte: it ends a text, and stands before its beginning as context.
 END = b"\xff"
 #: Bytes of texts in a block; distinct words and grams that end one sooner; bytes worked on at once, and grams in pieces that are merged.
-BLOCK, BLOCK_WORDS, BLOCK_GRAMS, PIECE, MERGED = 48 << 20, 400_000, 3_000_000, 1 << 20, 1_000_000
+BLOCK, BLOCK_WORDS, BLOCK_GRAMS, PIECE, MERGED = 48 << 20, 700_000, 3_000_000, 1 << 20, 1_000_000
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
