@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from sorrel.sources.work import written
 
@@ -14,8 +16,8 @@ from sorrel.sources.work import written
 GRAM = 3
 #: How many of a query's rarest grams are intersected before texts are read.
 RAREST = 3
-#: Distinct grams of all queries that are sent to the tasks, at most (eight bytes each); more are joined.
-SENT = 1_000_000
+#: Queries that are sent to the tasks, at most (some hundred bytes each); more are joined to an index of the texts.
+SENT = 100_000
 
 
 def grams(text: str, lengths: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
@@ -51,15 +53,13 @@ def _over_texts(texts: DataFrame, id_: str, text: str, use: Callable, schema: st
     return src.mapInArrow(run, f"gram long, {schema} {'long' if schema == 'n' else src.schema['id'].dataType.simpleString()}")
 
 
-def gram_index(texts: DataFrame, id_: str, text: str, lengths: tuple[int, ...] = (1, 2, 3), only: np.ndarray | None = None) -> DataFrame:
-    """(gram, id): the distinct grams of each lower-cased text, of those in ``only`` (ascending) if given. A null text has none."""
+def gram_index(texts: DataFrame, id_: str, text: str, lengths: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(gram, id): the distinct grams of each lower-cased text. A null text has none."""
 
     def use(rows: Iterator) -> Iterator:
         ids, found, size = [], [], 0
         for i, t in rows:
             g = grams(t, lengths)
-            if only is not None:
-                g = g[only[np.searchsorted(only, g).clip(max=len(only) - 1)] == g] if len(only) else g[:0]
             found.append(g)
             ids += [i] * len(g)
             size += len(g)
@@ -125,26 +125,67 @@ def query_grams(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, f"q {asked.schema['q'].dataType.simpleString()}, gram long").distinct()
 
 
+def _walk(texts: DataFrame, id_: str, text: str, asked: list, lengths: tuple[int, ...], query_id: str, kinds: tuple[DataType, DataType]) -> DataFrame:
+    """(query_id, id): each text against the queries (q, words, their rarest grams in order) that a task holds.
+
+    What a text has of the queries' grams is one array of flags. The queries whose rarest gram it has are
+    looked at for the next, and of those that have all the words are looked for in the text itself.
+    """
+    known = np.unique(np.array([g for _, _, gs in asked for g in gs] or [0], np.int64))
+    # The last place is a gram that every text has, for queries with fewer grams.
+    places = np.array([[*np.searchsorted(known, gs).tolist(), *[len(known)] * (RAREST - len(gs))] for _, _, gs in asked] or np.zeros((0, RAREST)), np.int64).T
+    names, words = [q for q, _, _ in asked], [w for _, w, _ in asked]
+    src = texts.select(F.col(id_).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    q_type = to_arrow_type(kinds[0])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        has = np.zeros(len(known) + 1, bool)
+        has[-1] = True
+        for batch in batches:
+            qs, ids = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = t.as_py()
+                g = grams(t, lengths)
+                at = np.searchsorted(known, g).clip(max=len(known) - 1)
+                at = at[known[at] == g]
+                has[at] = True
+                left = np.flatnonzero(has[places[0]])
+                for more in places[1:]:
+                    left = left[has[more[left]]]
+                has[at] = False
+                found = [names[k] for k in left.tolist() if all(w in t for w in words[k])]
+                qs += found
+                ids += [i] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(qs, q_type), pa.array(ids, batch.schema.field(0).type)], [query_id, id_])
+
+    return src.mapInArrow(run, f"`{query_id}` {kinds[0].simpleString()}, `{id_}` {kinds[1].simpleString()}")
+
+
 def substring_search(texts: DataFrame, id_: str, text: str, queries: DataFrame, query_id: str, query: str, index: DataFrame | None = None) -> DataFrame:
     """(query_id, id): the texts that contain every word of the query somewhere, without regard to case.
 
-    Of a query's grams the RAREST rarest are intersected; a gram that no text has ends the query. Only texts
-    that are left are read and checked word by word, so results are exact. ``index`` is the texts'
-    ``gram_index``, if one is kept. Without it the texts are walked twice: for counts of all grams, which are
-    added up in the tasks, and for the places of the chosen grams, which are few and rare; up to SENT of them
-    are sent to the tasks, more are joined to the whole index. A query of words of one or two code points
-    only is looked up by these. A query without words finds nothing; ids must be unique on both sides.
+    Of a query's grams the RAREST rarest are intersected, rarest first; a gram that no text has ends the
+    query. Only texts that have all of them are searched for the words, so results are exact. How rare a gram
+    is, is counted over all texts, in the tasks first. Up to SENT queries are sent to the tasks, and each text
+    is walked once, where it lies. More queries, or those against a kept ``index`` (the texts' ``gram_index``),
+    are joined to the places of their grams. A query of words of one or two code points only is looked up by
+    these. A query without words finds nothing; ids must be unique on both sides.
     """
     asked = queries.select(F.col(query_id).alias("q"), query_words(F.col(query)).alias("words")).where(F.size("words") > 0)
-    wanted = query_grams(asked)
     long = F.exists("words", lambda w: F.char_length(w) >= GRAM)
     lengths = (GRAM,) if asked.where(~long).isEmpty() else tuple(range(1, GRAM + 1))
     counts = gram_counts(texts, id_, text, lengths) if index is None else index.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = wanted.join(counts, "gram", "left").groupBy("q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g"))
-    chosen = written(ranked.where(F.col("g")[0]["df"] > 0).select("q", F.slice("g", 1, RAREST)["gram"].alias("g")), "chosen")
+    ranked = query_grams(asked).join(counts, "gram", "left").groupBy("q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g"))
+    chosen = ranked.where(F.col("g")[0]["df"] > 0).select("q", F.slice("g", 1, RAREST)["gram"].alias("g")).join(asked, "q").select("q", "words", "g")
+    chosen = written(chosen, "chosen")
     if index is None:
-        few = chosen.select(F.explode("g").alias("gram")).distinct().limit(SENT + 1).toArrow().column(0).to_numpy()
-        index = gram_index(texts, id_, text, lengths, np.sort(few) if len(few) <= SENT else None)
+        few = chosen.limit(SENT + 1).collect()
+        if len(few) <= SENT:
+            kinds = chosen.schema["q"].dataType, texts.schema[id_].dataType
+            return _walk(texts, id_, text, [tuple(r) for r in few], lengths, query_id, kinds)
+        index = gram_index(texts, id_, text, lengths)
     met = chosen.select("q", F.size("g").alias("need"), F.explode("g").alias("gram")).join(index, "gram").groupBy("q", "id").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need")
     low = texts.select(F.col(id_).alias("id"), F.lower(F.col(text)).alias("low"))
-    return met.join(low, "id").join(asked, "q").where(F.forall("words", lambda w: F.col("low").contains(w))).select(F.col("q").alias(query_id), F.col("id").alias(id_))
+    return met.join(low, "id").join(chosen.select("q", "words"), "q").where(F.forall("words", lambda w: F.col("low").contains(w))).select(F.col("q").alias(query_id), F.col("id").alias(id_))

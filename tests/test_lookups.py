@@ -116,7 +116,7 @@ def test_names(spark):
     assert sorted(map(tuple, names.name_matches(a, "n", b, "n").collect())) == sorted(want) and ("camp", "camp alpha and co west") in want and ("a b", "a b c") not in want
 
 
-def test_substrings(spark):
+def test_substrings(spark, monkeypatch):
     rng = random.Random(2)
     bits = ["abc", "Bcd", "x", " ", "été", "zz", "😀q", "the"]
     texts = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for i in range(200)] + [(900, None), (901, "")]
@@ -124,6 +124,9 @@ def test_substrings(spark):
     t, q = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "q long, words string")
     want = sorted(((i, d) for i, w in asked if w and w.split() for d, x in texts if all(p in (x or "").lower() for p in w.lower().split())), key=str)
     assert rows(substrings.substring_search(t, "id", "text", q, "q", "words")) == want
+    monkeypatch.setattr(substrings, "SENT", 3)  # more queries than are sent
+    assert rows(substrings.substring_search(t, "id", "text", q, "q", "words")) == want
+    monkeypatch.setattr(substrings, "SENT", 100)
     kept = substrings.gram_index(t, "id", "text")
     assert rows(substrings.substring_search(t, "id", "text", q, "q", "words", kept)) == want
     assert substrings.substring_search(t.limit(0), "id", "text", q, "q", "words").count() == 0
