@@ -101,9 +101,22 @@ _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {shift}) & 31 AS BIGINT), 1)" for g in range(8) for shift in (15, 10, 5, 0)
 )
 
+#: crc32 of the decimal digits of c: a byte is mixed in, then eight shifts.
+_CRC = "xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))), lambda a, b: list_reduce(list_concat([xor(a, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))))"
+
+
 _SQL = {
     "op1_warc_revisits": f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages), w AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
 SELECT page_id, url, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM w""",
+    "op12_conversation_trie": f"""WITH own AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, ts, CAST({_CRC} % 6 AS INTEGER) AS h FROM own), r AS (SELECT h.c, CASE WHEN b.c IS NULL THEN h.ts[h.h + 1:] ELSE list_concat(b.ts[1:h.h], h.ts[h.h + 1:]) END AS ts FROM h LEFT JOIN own AS b ON b.c = h.c - h.c % 100),
+p AS (SELECT c, d, ts[1:d] AS p, d = len(ts) AS ends FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL), m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.p = k.p AND n.d = k.d),
+a AS (SELECT p[1:u] AS p, u AS d, n_children = 0 AS leaf, CASE WHEN d > 0 THEN (n_convs - 1) * length(p[d].text) ELSE 0 END AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM m)),
+s AS (SELECT p, d, count_if(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM a GROUP BY ALL)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, above.conv_id AS parent_conv_id, m.n_convs, CAST(m.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s ON m.p = s.p AND m.d = s.d LEFT JOIN n AS above ON above.d = m.d - 1 AND above.p = m.p[1:m.d - 1]""",
 }
 
 

@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_queries_equal_their_sql(spark):
     con = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df, cur = queries.queries()[name](spark, SF), con.execute(sql)
