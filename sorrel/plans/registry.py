@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sorrel.functions import ages, dates, logic, money, text
 from sorrel.operators import changes, intervals, joins, search, summaries
-from sorrel.plans import catalog, checks, flows, ingest, lookups, pagefacts, places, rows
+from sorrel.plans import catalog, checks, flows, ingest, lookups, pagefacts, places, rows, states
 from sorrel.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | places.QUERIES | catalog.QUERIES | ingest.QUERIES | checks.QUERIES | flows.QUERIES | lookups.QUERIES | pagefacts.QUERIES | rows.QUERIES
+    return _QUERIES | places.QUERIES | catalog.QUERIES | ingest.QUERIES | checks.QUERIES | flows.QUERIES | lookups.QUERIES | pagefacts.QUERIES | rows.QUERIES | states.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | places.SQL | catalog.SQL | ingest.SQL | checks.SQL | flows.SQL | lookups.SQL | pagefacts.SQL | rows.SQL
+    return _SQL | places.SQL | catalog.SQL | ingest.SQL | checks.SQL | flows.SQL | lookups.SQL | pagefacts.SQL | rows.SQL | states.SQL
 
 
 def _cents(c: str) -> str:
