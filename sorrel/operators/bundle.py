@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -155,7 +156,8 @@ def nested_programs(rows: DataFrame, raw: str, order: str) -> DataFrame:
     """(order, program, provider, sessions): each published program of JSON texts with its provider and its published sessions, venues within them.
 
     A program needs an id, a slug, a name and a published provider. Text that isn't one JSON object, and
-    drafts at any level, are left out; a value of another kind than its field's is null or unknown.
+    drafts at any level, are left out; a value of another kind than its field's is null or unknown. Write the
+    result before it is taken apart, so that each row is mapped once.
     """
     v = F.col("v")
     need = texts(v, "$.prerequisites")
@@ -164,11 +166,12 @@ def nested_programs(rows: DataFrame, raw: str, order: str) -> DataFrame:
         "typical_age_max_inclusive": flag_at, "typical_age_assessed_at_date": day, "audience": one_of(AUDIENCES), "notes": text, "accessibility_support_tags": texts, "experience_summary": text, "prerequisites": F.when(F.size(need) > 0, need),
         "support_info": text, "policies_summary": text, "preparation_notes": text, "packing_items": packing_of(v),
     })
-    base = rows.select(F.col(order).alias("order"), strict_json(F.col(raw)).alias("v")).where(is_object(v) & published(v))
-    base = base.select("order", "v", program.alias("program"), let(one(v, "$.providers"), provider_of).alias("provider"))
-    base = base.where(F.col("provider").isNotNull() & F.col("program.id").isNotNull() & F.col("program.slug").isNotNull() & F.col("program.name").isNotNull())
+    # Rows are chosen by what the JSON says, as a condition on the records would be mapped a second time.
+    stated = reduce(lambda a, f: a & text(v, f"$.{f}").isNotNull(), ("id", "slug", "name"), published(v))
+    offered = let(one(v, "$.providers"), lambda p: published(p) & text(p, "$.id").isNotNull() & text(p, "$.name").isNotNull())
+    base = rows.select(F.col(order).alias("order"), strict_json(F.col(raw)).alias("v")).where(is_object(v) & stated & F.coalesce(offered, F.lit(False)))
     sessions = F.filter(F.transform(many(v, "$.camp_sessions"), session_of), lambda s: s.isNotNull())
-    return base.select("order", "program", "provider", sessions.alias("sessions"))
+    return base.select("order", program.alias("program"), let(one(v, "$.providers"), provider_of).alias("provider"), sessions.alias("sessions"))
 
 
 def sessions_of(nested: DataFrame) -> DataFrame:

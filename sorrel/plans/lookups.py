@@ -83,14 +83,14 @@ def titles_by_name(spark, d):
     return names.name_matches(titles, "title", links, "name")
 
 
-@_query("""WITH q AS (SELECT page_id, list_distinct(list_filter(regexp_split_to_array(lower(regexp_extract(html, '<title>(\\S+\\s+\\S+\\s+\\S+)', 1)), '\\s+'), lambda w: w <> '')) AS words FROM pages),
+@_query("""WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(regexp_extract(text, '^(\\S+\\s+\\S+\\s+\\S+)', 1)), '\\s+'), lambda w: w <> '')) AS words FROM benchmark),
 d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)
-SELECT page_id, count(*) AS texts, min(doc_id) AS first_text, max(doc_id) AS last_text FROM q JOIN d ON len(words) > 0 AND len(list_filter(words, lambda w: contains(low, w))) = len(words) GROUP BY page_id""")
-def texts_of_title(spark, d):
-    """For each page, the documents that contain all of the first three words of its title."""
-    q = table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"<title>(\S+\s+\S+\s+\S+)", 1).alias("q"))
-    found = substrings.substring_search(table(spark, d, "documents"), "doc_id", "text", q, "page_id", "q")
-    return found.groupBy("page_id").agg(F.count("*").alias("texts"), F.min("doc_id").alias("first_text"), F.max("doc_id").alias("last_text"))
+SELECT item_id, count(*) AS texts, min(doc_id) AS first_text, max(doc_id) AS last_text FROM q JOIN d ON len(words) > 0 AND len(list_filter(words, lambda w: contains(low, w))) = len(words) GROUP BY item_id""")
+def texts_with_words(spark, d):
+    """For each benchmark item, the documents that contain all of its first three words, in whatever place."""
+    q = table(spark, d, "benchmark").select("item_id", F.regexp_extract("text", r"^(\S+\s+\S+\s+\S+)", 1).alias("q"))
+    found = substrings.substring_search(table(spark, d, "documents"), "doc_id", "text", q, "item_id", "q")
+    return found.groupBy("item_id").agg(F.count("*").alias("texts"), F.min("doc_id").alias("first_text"), F.max("doc_id").alias("last_text"))
 
 
 @_query("""WITH m AS (SELECT l_returnflag || l_linestatus AS kind, count(*) AS n, median(l_extendedprice) AS median FROM lineitem GROUP BY 1)

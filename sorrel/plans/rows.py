@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sorrel.operators import bundle
 from sorrel.sources.tables import table
+from sorrel.sources.work import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -44,7 +45,7 @@ def nested(spark, d):
         F.concat(F.lit("c"), "c_custkey").alias("id"), F.lower("c_name").alias("slug"), F.when(bal < 9500, F.col("c_name")).otherwise(" ").alias("name"), F.lower("c_mktsegment").alias("primary_category"),
         F.when(bal < 0, F.lit("draft")).otherwise(yes).alias("publication_state"), F.lit("1998").alias("published_at"), provider.alias("providers"), "camp_sessions",
     )
-    return bundle.nested_programs(rows.select("c_custkey", F.to_json(program).alias("raw")), "raw", "c_custkey")
+    return written(bundle.nested_programs(rows.select("c_custkey", F.to_json(program).alias("raw")), "raw", "c_custkey"), "nested")
 
 
 _BASE = """WITH s AS (SELECT o.*, c.*, n_name, n_nationkey, r_name, r_regionkey, CASE WHEN r_name <> 'ASIA' THEN 'v' || r_regionkey END AS venue, CASE o_orderpriority WHEN '1-URGENT' THEN 'weekly' WHEN '2-HIGH' THEN 'single_day' WHEN '3-MEDIUM' THEN 'unknown' WHEN '4-NOT SPECIFIED' THEN 'unknown' END AS format,
