@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 from collections import Counter
@@ -26,6 +27,17 @@ BLOCK, BLOCK_WORDS, BLOCK_GRAMS, PIECE, MERGED = 48 << 20, 700_000, 3_000_000, 1
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
+def give_back() -> None:
+    """At a task's end: what its arrays have left free in a worker that lives on goes back to the machine."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def pieces(texts: Iterable[bytes], size: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(grams, text): the grams that end at each byte of the texts and at their ends, in pieces of about ``size`` of them.
 
@@ -181,6 +193,9 @@ def gather(docs: DataFrame, ws: Workspace) -> DataFrame:
                 words.clear()
         if taken or grams.size:
             yield from lists()
+        words.clear()
+        grams = Counts()
+        give_back()
 
     src = docs.select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
     return ws.table(src.mapInArrow(run, GATHERED), "gathered")
@@ -301,6 +316,8 @@ def listed(rows: DataFrame, part: int, held: int = 400_000) -> DataFrame:
                 own, n = [], 0
         if n:
             yield told(own)
+        own = []
+        give_back()
 
     return rows.mapInArrow(run, "block long, part int, chunk binary")
 
@@ -336,6 +353,8 @@ def _score(tokens: int, per_token: float, end: float) -> Callable:
                     values.append(np.frombuffer(data, np.float64, n, 4 + 8 * n))
                 else:
                     words.update(zip(data[4 + 8 * n :].split(b" "), np.log10(numbers + 1).tolist()))
+        grams, values, words, table = [], [], {}, None
+        give_back()
 
     def scored(batch, table: tuple[np.ndarray, np.ndarray], words: dict[bytes, float]):
         import pyarrow as pa
@@ -393,12 +412,15 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
         gram_rows = ws.table(listed(lists["gram"].select("block", "gram").join(codes, "gram").select("block", "gram", "lp"), 0), "gram-lists")
         for name in ("grams", "words", *(f"{what}-{d}" for what in ("head", "codes") for d in range(DEPTH + 1))):
             ws.drop(name)
-    both = gram_rows.unionByName(word_rows).unionByName(lists["text"].select("block", F.lit(2).alias("part"), "chunk"))
-
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts["blocks"] // 4))
-    place = F.expr(f"CAST(pmod(shiftright(block, 24) + (block & {(1 << 24) - 1}) * 1000003, {n}) AS int)")  # blocks of tasks 0, 1, 2, ... take turns
-    rows = both.repartitionById(n, place).sortWithinPartitions("block", "part")
-    out = type(docs.schema)([docs.schema["doc_id"]])
-    for name, kind in (("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("n_bytes", "long")):
-        out = out.add(name, kind)
-    return rows.mapInArrow(_score(tokens, math.log10(tokens + kinds + 1), math.log10(texts["n"] + 1)), out)
+        both = gram_rows.unionByName(word_rows).unionByName(lists["text"].select("block", F.lit(2).alias("part"), "chunk"))
+
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts["blocks"] // 4))
+        place = F.expr(f"CAST(pmod(shiftright(block, 24) + (block & {(1 << 24) - 1}) * 1000003, {n}) AS int)")  # blocks of tasks 0, 1, 2, ... take turns
+        rows = both.repartitionById(n, place).sortWithinPartitions("block", "part")
+        out = type(docs.schema)([docs.schema["doc_id"]])
+        for name, kind in (("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("n_bytes", "long")):
+            out = out.add(name, kind)
+        scores = ws.table(rows.mapInArrow(_score(tokens, math.log10(tokens + kinds + 1), math.log10(texts["n"] + 1)), out), "scores")
+    for name in ("gathered", "word-lists", "gram-lists"):
+        ws.drop(name)
+    return scores
