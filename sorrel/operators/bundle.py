@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.functions.facts import clock, iso_day, text_or_null, whole
+from sorrel.functions.facts import clock, iso_day, text_or_null
 from sorrel.functions.jsons import strict_json
 from sorrel.functions.text import let
 from sorrel.sources.variants import flag_at, number_at, text_at, typed_at
@@ -34,7 +34,8 @@ def at(v: Column, path: str) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    """Whether a value is an object; its fields aren't looked at, as a schema of it would."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
 def missing(v: Column, path: str) -> Column:
@@ -47,15 +48,15 @@ def text(v: Column, path: str) -> Column:
 
 
 def day(v: Column, path: str) -> Column:
-    return iso_day(text_at(v, path))
+    return typed_at(v, path, lambda x: F.when(x["kind"] == "STRING", iso_day(x["text"])))
 
 
 def time(v: Column, path: str) -> Column:
-    return clock(text_at(v, path))
+    return typed_at(v, path, lambda x: F.when(x["kind"] == "STRING", clock(x["text"])))
 
 
 def whole_number(v: Column, path: str) -> Column:
-    return whole(number_at(v, path))
+    return let(number_at(v, path), lambda d: F.when(d == F.floor(d), d.try_cast("long")))
 
 
 def one_of(members: tuple[str, ...], unknown: str = "unknown") -> Read:
@@ -80,7 +81,7 @@ def texts(v: Column, path: str) -> Column:
 
 def one(v: Column, path: str) -> Column:
     """An embedded row, or the first of an array of them; null if that is no row."""
-    return let(F.struct(at(v, path).alias("own"), at(v, f"{path}[0]").alias("first")), lambda x: F.when(is_object(x["own"]), x["own"]).when(is_object(x["first"]), x["first"]))
+    return let(F.struct((v if path == "$" else at(v, path)).alias("own"), at(v, f"{path}[0]").alias("first")), lambda x: F.when(is_object(x["own"]), x["own"]).when(is_object(x["first"]), x["first"]))
 
 
 def many(v: Column, path: str) -> Column:
@@ -89,12 +90,23 @@ def many(v: Column, path: str) -> Column:
 
 
 def record(v: Column, fields: dict[str, Any]) -> Column:
-    """A struct with each field read from the path of its name, or as a pair (path, how) says; Columns stay."""
-    out = []
-    for name, how in fields.items():
-        path, read = how if isinstance(how, tuple) else (name, how)
-        out.append((read if isinstance(read, Column) else read(v, f"$.{path}")).alias(name))
-    return F.struct(*out)
+    """A struct with each field read from the member of its name, or as a pair (member, how) says; a dict is a struct of more of the members; Columns stay.
+
+    The object is taken apart once, as a look-up of each path would go over all its members anew.
+    """
+
+    def plan(fields: dict[str, Any]) -> dict[str, Any]:
+        return {name: plan(how) if isinstance(how, dict) else how if isinstance(how, (Column, tuple)) else (name, how) for name, how in fields.items()}
+
+    def members(fields: dict[str, Any]) -> list[str]:
+        return [m for how in fields.values() if not isinstance(how, Column) for m in (members(how) if isinstance(how, dict) else [how[0]])]
+
+    def made(own: Column, fields: dict[str, Any]) -> Column:
+        return F.struct(*[(how if isinstance(how, Column) else made(own, how) if isinstance(how, dict) else how[1](own[how[0]], "$")).alias(name) for name, how in fields.items()])
+
+    planned = plan(fields)
+    kind = ", ".join(f"`{m}` variant" for m in dict.fromkeys(members(planned)))
+    return let(F.try_variant_get(v, "$", f"struct<{kind}>"), lambda own: made(own, planned))
 
 
 def published(v: Column) -> Column:
@@ -109,7 +121,7 @@ def provider_of(v: Column) -> Column:
 
 def venue_of(v: Column) -> Column:
     """A published venue with an id and a name, its city's fields beside its own, else null."""
-    city = let(one(v, "$.cities"), lambda c: F.struct(text(c, "$.city_town").alias("town"), text(c, "$.province_state").alias("province")))
+    city = ("cities", lambda x, path: let(one(x, path), lambda c: record(c, {"town": ("city_town", text), "province": ("province_state", text)})))
     own = record(v, {"id": text, "name": text, "neighbourhood": text, "address_line": text, "in": city, "postal_code": text, "latitude": number_at, "longitude": number_at, "notes": text, "wheelchair_accessible": tri_or_null})
 
     def flat(x: Column) -> Column:
@@ -120,26 +132,26 @@ def venue_of(v: Column) -> Column:
     return F.when(published(v), let(own, lambda x: F.when(x["id"].isNotNull() & x["name"].isNotNull(), flat(x))))
 
 
-def care_of(v: Column, name: str) -> Column:
-    return record(v, {"offered": (f"{name}_offered", tri), "start": (f"{name}_start_time", time), "end": (f"{name}_end_time", time), "separate": (f"{name}_separate_booking", tri)})
+def care_of(name: str) -> dict[str, Any]:
+    return {"offered": (f"{name}_offered", tri), "start": (f"{name}_start_time", time), "end": (f"{name}_end_time", time), "separate": (f"{name}_separate_booking", tri)}
 
 
-def spots_of(v: Column) -> Column:
+def spots_of(v: Column, path: str) -> Column:
     """The reading of a session's spots; null if its state, its time or a stated count can't be understood."""
     def read(row: Column) -> Column:
-        own = F.struct(whole_number(row, "$.spots_left").alias("spots_left"), text(row, "$.state").alias("state"), text(row, "$.checked_at").alias("checked_at"))
+        own = record(row, {"spots_left": whole_number, "state": text, "checked_at": text})
         return let(own, lambda x: F.when(x["state"].isin(*SPOTS) & x["checked_at"].isNotNull() & (x["spots_left"].isNotNull() | missing(row, "$.spots_left")), x))
 
-    return let(one(v, "$.camp_session_spots"), read)
+    return let(one(v, path), read)
 
 
 def session_of(v: Column) -> Column:
     """A published session with an id, with its venue inside, else null."""
     own = record(v, {
-        "id": text, "venue": let(one(v, "$.venues"), venue_of), "start_date": day, "end_date": day, "timing_label": text, "schedule_format": one_of(SCHEDULES), "stay_type": one_of(STAYS), "delivery_mode": one_of(DELIVERIES),
-        "core_hours_start": time, "core_hours_end": time, "before_care": care_of(v, "before_care"), "after_care": care_of(v, "after_care"), "price_amount": number_at, "price_unit": one_of(PRICE_UNITS), "currency": one_of(CURRENCIES),
-        "fee_notes": text, "registration_status": F.coalesce(one_of(REGISTRATION, "availability_unknown")(v, "$.registration_status"), F.lit("availability_unknown")), "registration_opens_on": day, "registration_deadline_on": day,
-        "waitlist_url": text, "registration_url": text, "source_url": text, "source_checked_date": day, "provider_confirmed": flag_at, "seat_availability": one_of(SEATS), "spot_check": spots_of(v), "age_min": whole_number, "age_max": whole_number,
+        "id": text, "venue": ("venues", lambda x, path: let(one(x, path), venue_of)), "start_date": day, "end_date": day, "timing_label": text, "schedule_format": one_of(SCHEDULES), "stay_type": one_of(STAYS), "delivery_mode": one_of(DELIVERIES),
+        "core_hours_start": time, "core_hours_end": time, "before_care": care_of("before_care"), "after_care": care_of("after_care"), "price_amount": number_at, "price_unit": one_of(PRICE_UNITS), "currency": one_of(CURRENCIES),
+        "fee_notes": text, "registration_status": lambda x, path: F.coalesce(one_of(REGISTRATION, "availability_unknown")(x, path), F.lit("availability_unknown")), "registration_opens_on": day, "registration_deadline_on": day,
+        "waitlist_url": text, "registration_url": text, "source_url": text, "source_checked_date": day, "provider_confirmed": flag_at, "seat_availability": one_of(SEATS), "spot_check": ("camp_session_spots", spots_of), "age_min": whole_number, "age_max": whole_number,
         "age_min_inclusive": flag_at, "age_max_inclusive": flag_at, "age_assessed_at_date": day, "age_assessment_rule": one_of(AGE_RULES), "notes": text,
     })
     return F.when(published(v), let(own, lambda x: F.when(x["id"].isNotNull(), x)))
@@ -166,10 +178,14 @@ def nested_programs(rows: DataFrame, raw: str, order: str) -> DataFrame:
         "typical_age_max_inclusive": flag_at, "typical_age_assessed_at_date": day, "audience": one_of(AUDIENCES), "notes": text, "accessibility_support_tags": texts, "experience_summary": text, "prerequisites": F.when(F.size(need) > 0, need),
         "support_info": text, "policies_summary": text, "preparation_notes": text, "packing_items": packing_of(v),
     })
-    # Rows are chosen by what the JSON says, as a condition on the records would be mapped a second time.
-    stated = reduce(lambda a, f: a & text(v, f"$.{f}").isNotNull(), ("id", "slug", "name"), published(v))
-    offered = let(one(v, "$.providers"), lambda p: published(p) & text(p, "$.id").isNotNull() & text(p, "$.name").isNotNull())
-    base = rows.select(F.col(order).alias("order"), strict_json(F.col(raw)).alias("v")).where(is_object(v) & stated & F.coalesce(offered, F.lit(False)))
+
+    def shown(x: Column) -> Column:
+        stated = reduce(lambda a, f: a & text(x, f"$.{f}").isNotNull(), ("id", "slug", "name"), published(x))
+        offered = let(one(x, "$.providers"), lambda p: published(p) & text(p, "$.id").isNotNull() & text(p, "$.name").isNotNull())
+        return is_object(x) & stated & F.coalesce(offered, F.lit(False))
+
+    # Rows are chosen by exploding: a condition would be moved below the parser, which each of its parts would then call anew.
+    base = rows.select(F.col(order).alias("order"), F.explode(F.filter(F.array(strict_json(F.col(raw))), shown)).alias("v"))
     sessions = F.filter(F.transform(many(v, "$.camp_sessions"), session_of), lambda s: s.isNotNull())
     return base.select("order", program.alias("program"), let(one(v, "$.providers"), provider_of).alias("provider"), sessions.alias("sessions"))
 

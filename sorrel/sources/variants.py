@@ -21,7 +21,8 @@ def embedded_json(html: Column, attribute: str) -> Column:
 
 def typed_at(v: Column, path: str, use: Callable[[Column], Column]) -> Column:
     """``use`` of struct<kind, text> of the value at a path, which is looked up once: its kind as SQL names it, and its text."""
-    return let(F.struct(F.schema_of_variant(F.try_variant_get(v, path, "variant")).alias("kind"), F.try_variant_get(v, path, "string").alias("text")), use)
+    found = v if path == "$" else F.try_variant_get(v, path, "variant")
+    return let(F.struct(F.schema_of_variant(found).alias("kind"), F.try_variant_get(v, path, "string").alias("text")), use)
 
 
 def text_at(v: Column, path: str) -> Column:
