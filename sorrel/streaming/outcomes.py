@@ -35,38 +35,49 @@ class Watcher(StatefulProcessor):
         self.status.clear()
         self.content.clear()
 
-    def _wake(self, key: str, at: int) -> None:
-        for t in list(self.handle.listTimers()):
+    def _wake(self, at: int, fresh: bool) -> None:
+        for t in () if fresh else list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         for wait in (self.remind, self.forget):
             self.handle.registerTimer(-(-(at + wait) // 1000))  # timers count whole milliseconds
 
-    def _step(self, key: str, at: int, status: str, content: str | None) -> Iterator[tuple]:
-        last = self.status.get()
-        if last is not None and at < last[1]:
-            return  # read before what is known already
-        if last is not None and at - last[1] > self.remind and not last[2]:
-            yield key, last[1] + self.remind, "overdue", last[0], None
-        if last is not None and at - last[1] > self.forget:
-            self._reset()
-            last = None
-        if status != "ok":
-            if last is not None and last[0] in FAILURES and status in FAILURES:
-                yield key, at, "unreachable", last[0], status
-        else:
-            known = self.content.get()
-            if known is not None and known[0] != content:
-                yield key, at, "content", known[0], content
-            if content is not None:
-                self.content.update((content,))
-        self.status.update((status, at, False))
+    def _steps(self, key: str, own: list[tuple], last: tuple | None, known: str | None, out: list[tuple]) -> tuple[tuple | None, str | None]:
+        """(last, known) after the readings, whose outcomes go to ``out``."""
+        for at, _, status, content in own:
+            at = int(at)
+            if last is not None:
+                if at < last[1]:
+                    continue  # read before what is known already
+                if at - last[1] > self.remind and not last[2]:
+                    out.append((key, last[1] + self.remind, "overdue", last[0], None))
+                if at - last[1] > self.forget:
+                    last = known = None
+            if status != "ok":
+                if last is not None and last[0] in FAILURES and status in FAILURES:
+                    out.append((key, at, "unreachable", last[0], status))
+            else:
+                if known is not None and known != content:
+                    out.append((key, at, "content", known, content))
+                if content is not None:
+                    known = content
+            last = (status, at, False)
+        return last, known
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out, own = [], sorted(r for f in rows for r in zip(f["at"], f["reading"], f["status"], f["content"]))
-        for at, _, status, content in own:
-            out += self._step(key[0], int(at), status, content)
-        if own:
-            self._wake(key[0], self.status.get()[1])
+        # Each call to the state is a message to the JVM, so it is read once and written once, however many readings there are.
+        out, own = [], sorted(r for f in rows for r in zip(f["at"].tolist(), f["reading"].tolist(), f["status"].tolist(), f["content"].tolist()))
+        if not own:
+            return
+        old = self.status.get()
+        content = None if old is None else self.content.get()
+        known = content and content[0]
+        last, new = self._steps(key[0], own, old and tuple(old), known, out)
+        self.status.update(last)
+        if new is None and known is not None:
+            self.content.clear()
+        elif new != known:
+            self.content.update((new,))
+        self._wake(last[1], old is None)
         if out:
             yield pd.DataFrame(out, columns=["key", "at", "field", "old_value", "new_value"])
 
