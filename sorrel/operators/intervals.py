@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegralType, LongType, StructType
 
+from sorrel.sources.work import written
+
 #: Bands of a list that becomes constants of the plan, at most; longer lists are joined.
 MOST_BANDS = 10_000
+#: Bands that a task cuts into blocks.
+BANDS_A_TASK = 50_000
 
 
 class Bands(NamedTuple):
@@ -82,7 +86,8 @@ def dyadic_band_join(values: DataFrame, value: str, bands: DataFrame, names: Ban
     A band is cut into the aligned blocks of 2**k integers that make it up, at most two of a size; of all
     bands that hold a block only the best is kept. A value lies in one block of each size, so it meets at
     most one row for each size that occurs: no bin fills up, however many bands share it. Distinct values
-    are looked up, and the rows then joined to what was found.
+    are looked up, and the rows then joined to what was found. Of bands with equal bounds the best is kept
+    first; the rest are cut in tasks of at most about BANDS_A_TASK, as a band may have over a hundred blocks.
     """
     kind = values.schema[value].dataType
     if not isinstance(kind, IntegralType):
@@ -90,14 +95,16 @@ def dyadic_band_join(values: DataFrame, value: str, bands: DataFrame, names: Ban
     low, high = (F.coalesce(F.col(c).cast("long"), F.lit(open_)) for c, open_ in ((names.low, -(1 << 61)), (names.high, (1 << 61) - 1)))
     width = F.when(F.col(names.low).isNull() | F.col(names.high).isNull(), F.lit((1 << 63) - 1)).otherwise(high - low)
     rank = F.struct(width.alias("w"), *[F.col(c) for c in (names.cost, names.key, *names.also)])
-    cut = bands.where(low <= high).select(rank.alias("band_found"), low.alias("a"), (high + 1).alias("b"))
-    cut = cut.withColumn("k", F.explode(F.expr("sequence(0, CAST(floor(log2(b - a)) AS int))")))
+    best = bands.where(low <= high).groupBy(low.alias("a"), (high + 1).alias("b")).agg(F.min(rank).alias("band_found"))
+    best = written(best, "bands")
+    n, longest = best.agg(F.count("*"), F.max(F.col("b") - F.col("a"))).first()
+    cut = best.repartition(n // BANDS_A_TASK + 1).withColumn("k", F.explode(F.expr("sequence(0, CAST(floor(log2(b - a)) AS int))")))
     l, r = F.expr("-shiftright(-a, k)"), F.expr("shiftright(b, k)")
     inner = l + l.bitwiseAND(F.lit(1))
     blocks = F.array_compact(F.array(F.when((l < r) & (l.bitwiseAND(F.lit(1)) == 1), l), F.when((inner < r) & (r.bitwiseAND(F.lit(1)) == 1), r - 1)))
     held = cut.select("band_found", F.col("k").alias("size"), F.explode(blocks).alias("block")).groupBy("size", "block").agg(F.min("band_found").alias("band_found"))
     asked = values.select(F.col(value).cast("long").alias("asked")).where("asked IS NOT NULL").distinct()
-    sizes = F.explode(F.sequence(F.lit(0), F.lit(62)))
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(max(0, (longest or 1).bit_length() - 1))))
     met = asked.select("asked", sizes.alias("size")).withColumn("block", F.expr("shiftright(asked, size)")).join(held, ["size", "block"])
     found = met.groupBy("asked").agg(F.min("band_found").alias("band_found"))
     return values.join(found, F.col(value).cast("long") == F.col("asked"), "left").drop("asked")
