@@ -69,7 +69,11 @@ def date_range(text: Column, context_year: int | None = None) -> Column:
     as context: a year is never invented. A range whose start borrows the end's year and would run
     backwards over the months crosses New Year.
     """
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), ",", " "), r"\s+", " "))
+    return let(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), ",", " "), r"\s+", " ")), lambda t: _date_range(t, context_year))
+
+
+def _date_range(t: Column, context_year: int | None) -> Column:
+    """``date_range`` of a text in small letters, which is a variable: all patterns look at it, and it is made once."""
     none = F.lit(None).cast("int")
 
     def parts(pattern: str, start: tuple, end: tuple | None) -> Column:
