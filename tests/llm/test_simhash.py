@@ -100,3 +100,20 @@ def test_components_of_paths_and_hubs(spark):
     want = {i: 100 for i in range(101, 161)} | {i: 1000 for i in [*range(1001, 1200), 5000]} | {9: 8}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t")).count() == 0
+
+
+def test_texts_are_not_shuffled(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = S.one_of_each_group(spark, documents(spark, [(i, f"w{i % 700} x{i % 700} y{i % 700}") for i in range(1000)]).repartition(3))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        kept = sorted(r.doc_id for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    root = groups({f for f in map(plain_fingerprint, (f"w{i} x{i} y{i}" for i in range(700)))})
+    least = {}
+    for i in range(700):
+        least.setdefault(root[plain_fingerprint(f"w{i} x{i} y{i}")], i)
+    assert kept == sorted(least.values())
