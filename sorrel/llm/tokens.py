@@ -8,6 +8,8 @@ import re
 from array import array
 from itertools import chain
 
+import numpy as np
+
 #: Words whose ids a worker keeps during a task; later words are encoded again each time, which bounds its memory.
 KEPT_WORDS = 1_000_000
 #: Words that it may keep between tasks; a worker with more drops them all at a task's end, as other stages need the memory.
@@ -19,8 +21,13 @@ _ENDED = re.compile(f"( ?[{_LETTERS}]+)([{re.escape(_MARKS)}]+)").fullmatch
 #: How byte-level files write bytes: those of visible Latin-1 characters as themselves, the others from U+0100 on, in order.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
-_SPACE = chr(_BYTE_CHARS[0x20])
+_LINE = chr(_BYTE_CHARS[0x0A])
+_WRITTEN = np.array([_BYTE_CHARS.get(b, b) for b in range(256)], "<u2")
 _RARE = re.compile(r"[^\S \n]").search  # white space other than spaces and line ends
+#: For Arrow: a text with white space at an end, in a run, or other than spaces and line ends.
+_UNUSUAL = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Bytes of text that are encoded at once as a column; a longer text is encoded by itself.
+COLUMN_BYTES = 8 << 20
 
 
 class WordTokenizer:
@@ -49,10 +56,12 @@ class WordTokenizer:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of a word of letters; the merges are of bytes, written as characters."""
-        chars = word.replace(" ", _SPACE) if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return array("I", [t.id for t in self._merges.tokenize(chars)]).tobytes()
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters; the merges are of bytes, written as characters."""
+        if not words:
+            return []
+        chars, merge = _WRITTEN[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le"), self._merges.tokenize
+        return [array("I", [t.id for t in merge(x)]).tobytes() for x in chars.split(_LINE)]
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -86,7 +95,8 @@ class WordTokenizer:
             elif not w[1:].isalpha() and not _RARE(w) and len(ps := self._pieces(w)) > 1:
                 split[w] = ps
         todo = list({p for p in chain(new, *split.values()) if p not in words and p not in split})
-        ids = {w: self._letters(w) for w in todo if _LATIN(w)}
+        latin = [w for w in todo if _LATIN(w)]
+        ids = dict(zip(latin, self._letters(latin)))
         todo = [w for w in todo if w not in ids]
         for i in range(0, len(todo), 4096):
             ids.update(zip(todo[i : i + 4096], self._plain(todo[i : i + 4096])))
@@ -134,6 +144,91 @@ class WordTokenizer:
         return [b"".join(ids) for ids, _ in found]
 
 
+    def encode_column(self, texts) -> list[bytes]:
+        """As ``encode``, of an Arrow column of strings: only distinct words are looked up in Python.
+
+        Usual texts have one space or line end between words and none elsewhere. They are cut
+        there, and before trailing marks, by Arrow; others go to ``encode``.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.fill_null("")
+        sizes, out = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64), [b""] * len(texts)
+        usual = ~pc.match_substring_regex(texts, _UNUSUAL).to_numpy(zero_copy_only=False) & (sizes <= COLUMN_BYTES)
+        for i in np.flatnonzero(~usual).tolist():
+            out[i] = self.encode([texts[i].as_py()])[0]
+        at, step = np.flatnonzero(usual), np.cumsum(sizes[usual]) // COLUMN_BYTES
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            for k in np.unique(step):
+                own = at[step == k]
+                for i, data in zip(own.tolist(), self._encode_usual(texts.take(pa.array(own)).cast(pa.string()))):
+                    out[i] = data
+        finally:
+            if collects:
+                gc.enable()
+        return out
+
+    def _encode_usual(self, texts) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # Each word starts with its line end, else a space stood before it; a text's first word gets a line end, dropped later.
+        lists = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        words = lists.flatten().dictionary_encode()
+        found, codes = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+        starts_line = pc.starts_with(found, "\n")
+        body = pc.utf8_ltrim(found, "\n")
+        core = pc.utf8_rtrim(body, _MARKS)
+        split = pc.utf8_is_alpha(core)
+        keys = pc.binary_join_element_wise(pc.if_else(starts_line, "", " "), pc.if_else(split, core, body), "").dictionary_encode()
+        ids = self._ids(keys.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # A word is a line end or nothing, its letters, and its trailing marks or nothing.
+        tail_sizes = pc.if_else(split, pc.subtract(pc.binary_length(body), pc.binary_length(core)), 0).to_numpy(zero_copy_only=False)
+        tailed = np.flatnonzero(tail_sizes)
+        tails = [w[-n:] for w, n in zip(found.take(pa.array(tailed)).to_numpy(zero_copy_only=False).tolist(), tail_sizes[tailed].tolist())]
+        place = {"": len(ids), "\n": len(ids) + 1}
+        for x in tails:
+            place.setdefault(x, len(ids) + len(place))
+        ids += [b"", *self._ids(list(place)[1:])]
+        pieces = np.full((len(found), 3), place[""], np.int64)
+        pieces[:, 0][starts_line.to_numpy(zero_copy_only=False)] = place["\n"]
+        pieces[:, 1] = keys.indices.to_numpy(zero_copy_only=False)
+        pieces[tailed, 2] = [place[x] for x in tails]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = _strung(np.frombuffer(b"".join(ids), "<u4"), lengths, pieces.ravel())
+        lengths = lengths[pieces].sum(axis=1)
+        data = memoryview(_strung(flat, lengths, codes).tobytes())
+        ends = np.concatenate([[0], np.cumsum(lengths[codes])])[lists.offsets.to_numpy()] * 4
+        return [bytes(data[a + 4 : b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each learnt if it is new."""
+        ids = list(map(self._words.get, words))
+        gaps = [i for i, data in enumerate(ids) if data is None]
+        latin, rest = [], []
+        for i in gaps:
+            w = words[i]
+            (latin if _LATIN(w) else rest).append(w)
+        letters = dict(zip(latin, self._letters(latin)))
+        if len(self._words) < KEPT_WORDS:
+            self._words.update(letters)
+        if rest:
+            letters |= self._learn(rest)
+        for i in gaps:
+            ids[i] = letters[words[i]]
+        return ids
+
+
+def _strung(pool: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs of ``pool``, of these lengths and one behind the other, put together in the order of ``codes``."""
+    n = lengths[codes]
+    shift = (np.cumsum(lengths) - lengths)[codes] - (np.cumsum(n) - n)
+    return pool[np.arange(n.sum(), dtype=np.int32) + np.repeat(shift.astype(np.int32), n)]  # a column's ids are far fewer than 2**31
+
+
 _SHARED: dict[str, WordTokenizer] = {}
 
 

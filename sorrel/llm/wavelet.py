@@ -184,8 +184,8 @@ def write_shards(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int) ->
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(doc_ids), 256):
-                for doc, data in zip(doc_ids[i : i + 256], tk.encode(texts[i : i + 256].to_pylist())):
+            for i in range(0, len(doc_ids), 4096):
+                for doc, data in zip(doc_ids[i : i + 4096], tk.encode_column(texts[i : i + 4096])):
                     ids += [data, end]
                     names.append(doc)
                     sizes.append(len(data) // 4 + 1)

@@ -28,6 +28,32 @@ def test_words_give_the_same_ids(plain):
     assert [np.frombuffer(b, "<u4").tolist() for b in WordTokenizer(byte_bpe_path()).encode(some)] == [plain(x) for x in some]
 
 
+def test_columns_give_the_same_ids(plain, monkeypatch):
+    import pyarrow as pa
+
+    from sorrel.llm import tokens
+
+    rng = random.Random(2)
+    bits = [" ", " ", " ", "  ", "\n", "\n", "\t", "a", "Foo", "1", "!!", "'s", "\x1c", "\x85", "é", "ß", "ǅ", "ª", "\u0301", "<|endoftext|>", "\r\n", "漢", "don't", "word.", "A.\n", "é!", "a\xa0", "\u3000", "\x00", "😀"]
+    some = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for _ in range(6000)] + ["", None, "\n", " ", "a\n.", ".\na", "x" * 3000, "é漢 " * 900]
+    want = [plain(x) for x in some]
+    for most in (8 << 20, 1000):
+        monkeypatch.setattr(tokens, "COLUMN_BYTES", most)
+        for column in (pa.array(some), pa.array(some, pa.large_string()), pa.array(["x", *some, "y"])[1:-1]):
+            assert [np.frombuffer(b, "<u4").tolist() for b in WordTokenizer(byte_bpe_path()).encode_column(column)] == want
+    assert WordTokenizer(byte_bpe_path()).encode_column(pa.array([], pa.string())) == []
+
+
+def test_a_column_merges_a_word_once():
+    import pyarrow as pa
+
+    t, seen = WordTokenizer(byte_bpe_path()), []
+    letters = t._letters
+    t._letters = lambda words: seen.extend(words) or letters(words)
+    t.encode_column(pa.array(["The qwertish, qwertish. The qwertish!\nThe qwertish", "Le qwertish; Le qwertish?"] * 50))
+    assert sorted(seen) == [" Le", " The", " qwertish", "Le", "The"]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
